@@ -5,9 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from papyrion.llm import spans
-from papyrion.runtime import table
+from papyrion.llm import leakage, mixing, neardup, spans
+from papyrion.runtime import store, table
+
+
+def _package_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of each package that has blocks: the title and one row per block."""
+    blocks = table(spark, folder, "blocks")
+    titles = table(spark, folder, "packages").select("package_id", F.col("title").alias("text"))
+    return blocks.select("package_id", F.col("txt").alias("text")).unionByName(titles.join(blocks.select("package_id").distinct(), "package_id", "left_semi"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    members, links = neardup.similar(_package_texts(spark, folder), "package_id", "text", n=3, num=7, den=10)
+    return neardup.pairs(members, links).select(F.col("a").alias("package_id_a"), F.col("b").alias("package_id_b"))
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    members, links = neardup.similar(_package_texts(spark, folder), "package_id", "text", n=3, num=7, den=10)
+    return neardup.groups(members, links).select(F.col("key").alias("package_id"), F.col("group").alias("group_id"), F.col("class").alias("class_id"), "n_links")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = leakage.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "txt", reworded=False)
+    return found.select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "txt")
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    tokens = store(mixing.token_counts(table(spark, folder, "documents"), "doc_id", "text", "source"), "counted")
+    return mixing.mixture(tokens, table(spark, folder, "source_targets"), "source", "target_share", "max_repeats")
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1]
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +59,22 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shares(spans.shared_spans(docs, "doc_id", "text", 300), docs, "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p9_found, p9_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p6_found, p6_groups, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shares)
+}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p7_found": r"""
+WITH d AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT DISTINCT item_id AS id, list_transform(regexp_extract_all(txt, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items WHERE txt IS NOT NULL),
+dw AS (SELECT id, array_to_string(w[i:i+11], ' ') AS run FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
+ew AS (SELECT id, array_to_string(w[i:i+11], ' ') AS run FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12))
+SELECT DISTINCT dw.id AS doc_id, ew.id AS item_id FROM dw JOIN ew USING (run)""",
+    "p6_found": r"""
+WITH t AS (SELECT package_id AS id, txt FROM blocks WHERE txt IS NOT NULL UNION ALL SELECT package_id, title FROM packages WHERE title IS NOT NULL AND package_id IN (SELECT package_id FROM blocks)),
+w AS (SELECT id, list_transform(regexp_extract_all(txt, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM t),
+s AS (SELECT DISTINCT id, array_to_string(w[i:i+2], ' ') AS run FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+both_ AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2)
+SELECT a AS package_id_a, b AS package_id_b FROM both_ JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * c >= 7 * (x.n + y.n - c)""",
+}
