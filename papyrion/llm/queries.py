@@ -7,10 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrion.llm import leakage, mixing, neardup, spans
+from papyrion.llm import boilerplate, leakage, mixing, neardup, spans, split
 from papyrion.runtime import store, table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return split.long_sections(table(spark, folder, "rag_exports"), "export_id", "rag_markdown", "chunk_size").select(F.col("key").alias("export_id"), "section_no")
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    rows = split.split(table(spark, folder, "rag_exports"), "export_id", "rag_markdown", "chunk_size", "overlap_chars", "chunk_count")
+    return rows.withColumnsRenamed({"key": "export_id", "stated": "chunk_count"})
+
+
+def _judged_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    pages = boilerplate.pages(table(spark, folder, "web_blocks"), "package_id", "block_no", "source_url", "kind", "txt", "ingested_at")
+    return boilerplate.judge(store(pages, "pages"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _judged_blocks(spark, folder).where("not main").select("package_id", "block_no")
+
+
+def p5_main(spark: SparkSession, folder: str) -> DataFrame:
+    main = _judged_blocks(spark, folder).where("main").groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "txt"))).alias("blocks"))
+    return main.select("package_id", F.size("blocks").alias("n_blocks"), F.array_join("blocks.txt", "\n\n").alias("main_text"))
+
+
 def _package_texts(spark: SparkSession, folder: str) -> DataFrame:
     """The texts of each package that has blocks: the title and one row per block."""
     blocks = table(spark, folder, "blocks")
@@ -60,10 +83,18 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p6_found, p6_groups, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shares)
+    f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_main, p6_found, p6_groups, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shares)
 }
 
 ORACLE: dict[str, str] = {
+    "p1_found": r"""
+WITH t AS (SELECT DISTINCT export_id, coalesce(chunk_size, 1600) AS size, string_split(replace(rag_markdown, chr(13) || chr(10), chr(10)), chr(10)) AS lines FROM rag_exports WHERE rag_markdown IS NOT NULL),
+l AS (SELECT export_id, size, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM t),
+f AS (SELECT *, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY export_id, size ORDER BY i) AS fences FROM l),
+h AS (SELECT *, sum(CASE WHEN fences % 2 = 0 AND regexp_matches(line, '^#{1,6}[ \t]+\S') THEN 1 ELSE 0 END) OVER (PARTITION BY export_id, size ORDER BY i) AS sec FROM f),
+s AS (SELECT export_id, size, sec, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS txt FROM h GROUP BY ALL),
+n AS (SELECT export_id, size, txt, row_number() OVER (PARTITION BY export_id, size ORDER BY sec) AS section_no FROM s WHERE txt <> '')
+SELECT DISTINCT export_id, CAST(section_no AS INTEGER) AS section_no FROM n WHERE length(txt) > size""",
     "p7_found": r"""
 WITH d AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
 e AS (SELECT DISTINCT item_id AS id, list_transform(regexp_extract_all(txt, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items WHERE txt IS NOT NULL),
