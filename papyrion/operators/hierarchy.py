@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrion.runtime import partitions_for, session_of, shared_path, small, store, store_counted
+from papyrion.runtime import partitions_for, session_of, shared_path, store, store_counted
+
+#: A frontier of at most so many rows is followed down so many levels in one job.
+SMALL_FRONTIER, SMALL_LEVELS = 100_000, 8
+
 
 def clean_key(col: Column) -> Column:
     """An id as text: without white space around it and a trailing ``.0``; null where nothing or ``0`` is left."""
@@ -35,6 +39,21 @@ def _order(col: Column) -> Column:
     return F.struct(F.coalesce(F.length(F.regexp_extract(col, r"^\d+$", 0)), F.lit(0)).alias("digits"), col.alias("key"))
 
 
+def _below(frontier: DataFrame, down: DataFrame, levels: int) -> DataFrame:
+    """The nodes up to ``levels`` below a frontier: one join a level, all in one job. Every row follows one chain of
+    children; its nodes are then listed, each once."""
+    rows = frontier.select("root", "depth", "path", F.col("node").alias("c0"))
+    for k in range(1, levels + 1):
+        kids = down.select(F.col("parent").alias(f"p{k}"), F.col("child").alias(f"c{k}"))
+        rows = rows.join(kids, F.col(f"c{k - 1}") == F.col(f"p{k}"), "inner" if k == 1 else "left").drop(f"p{k}")
+    if levels == 1:
+        return rows.select(F.col("c1").alias("node"), "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("c1")).alias("path"))
+    chain = F.array_compact(F.array(*[f"c{k}" for k in range(1, levels + 1)]))
+    each = rows.select("root", "depth", "path", chain.alias("chain")).select("root", "depth", "path", "chain", F.posexplode("chain").alias("i", "node"))
+    each = each.select("node", "root", (F.col("depth") + F.col("i") + 1).alias("depth"), F.concat("path", F.slice("chain", F.lit(1), F.col("i") + 1)).alias("path"))
+    return each.groupBy("node").agg(*[F.first(c).alias(c) for c in ("root", "depth", "path")])
+
+
 def hierarchy(df: DataFrame, node: str, parent: str, version: str | None = None) -> DataFrame:
     """Full hierarchy of parent-child rows: ``node, parent, root, depth, path, looped``.
 
@@ -51,17 +70,18 @@ def hierarchy(df: DataFrame, node: str, parent: str, version: str | None = None)
         nodes.join(known, F.col("parent") == F.col("known"), "left").select("node", F.when(F.col("known").isNotNull(), F.col("parent")).alias("parent")),
         "edges",
     )
-    down = edges.where("parent is not null").select(F.col("node").alias("child"), "parent").repartition(parts, "parent").persist()
+    down = edges.where("parent is not null").select(F.col("node").alias("child"), "parent").repartition(parts, "parent").sortWithinPartitions("parent").persist()
     base = shared_path(spark, "levels")
     roots = edges.where("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"))
     frontier, width = store_counted(roots, f"{base}/level=0")
-    total, reached, level = edges.count(), width, 0
+    total, reached, depth = edges.count(), width, 0
     while width and reached < total:
-        level += 1
-        step = small(frontier, width, 20_000).join(down, F.col("node") == F.col("parent"))
-        step = step.select(F.col("child").alias("node"), "root", F.lit(level).alias("depth"), F.concat("path", F.array("child")).alias("path"))
-        frontier, width = store_counted(step, f"{base}/level={level}")
-        reached += width
+        levels = SMALL_LEVELS if width <= SMALL_FRONTIER else 1
+        below, more = store_counted(_below(frontier, down, levels), f"{base}/level={depth + 1}")
+        depth += levels
+        reached += more
+        frontier = below.where(F.col("depth") == depth)
+        width = more if levels == 1 else frontier.count()
     found = spark.read.schema(roots.schema).parquet(f"{base}/level=*")
     if reached < total:
         rest = edges.join(found.select("node"), "node", "left_anti")
