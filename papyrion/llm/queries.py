@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrion.llm import boilerplate, leakage, mixing, neardup, spans, split
+from papyrion.llm import boilerplate, leakage, mixing, neardup, scans, spans, split
 from papyrion.runtime import store, table
 
 
@@ -20,6 +20,14 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumnsRenamed({"key": "export_id", "stated": "chunk_count"})
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.noise(table(spark, folder, "scan_pages"), "package_id", "page_no", "markdown").select(F.col("doc").alias("package_id"), F.col("page").alias("page_no"), "line_no", "noise")
+
+
+def p2_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.readable(table(spark, folder, "scan_pages"), "package_id", "page_no", "markdown").withColumnRenamed("doc", "package_id")
+
+
 def _judged_blocks(spark: SparkSession, folder: str) -> DataFrame:
     pages = boilerplate.pages(table(spark, folder, "web_blocks"), "package_id", "block_no", "source_url", "kind", "txt", "ingested_at")
     return boilerplate.judge(store(pages, "pages"))
@@ -83,7 +91,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_main, p6_found, p6_groups, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shares)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_paragraphs, p5_found, p5_main, p6_found, p6_groups, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shares)
 }
 
 ORACLE: dict[str, str] = {

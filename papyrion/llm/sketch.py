@@ -1,8 +1,9 @@
 """Count-min sketches built by task, merged by slice, and sent to all workers.
 
-Counters never underestimate: they only add, and stop at 255. The size is fixed by a power of two between
-``LEAST_BITS`` and ``MOST_BITS`` cells a row, so what the driver holds and broadcasts is bounded (two rows of one-byte
-cells: 128 MB at most) whatever the data; with more data the estimates get looser, and nothing is lost.
+Counters never underestimate: they only add, and stop at the greatest value of their type. The size is fixed by a power
+of two between ``LEAST_BITS`` and ``MOST_BITS`` cells a row, so what the driver holds and broadcasts is bounded (two rows
+of one-byte cells: 128 MB at most; sketches of wider cells stay within ``WIDE_BITS``) whatever the data; with more data
+the estimates get looser, and nothing is lost.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from papyrion.llm.text import arrow
 from papyrion.runtime import session_of
 
-ROWS, LEAST_BITS, MOST_BITS = 2, 16, 26
+ROWS, LEAST_BITS, MOST_BITS, WIDE_BITS = 2, 16, 26, 22
 SLICE = 1 << 16
 
 
@@ -27,9 +28,10 @@ def bits_for(items: int) -> int:
 
 
 class Sketch:
-    def __init__(self, bits: int, cells: np.ndarray | None = None):
+    def __init__(self, bits: int, cells: np.ndarray | None = None, kind: str = "uint8"):
         self.bits = bits
-        self.cells = np.zeros((ROWS, 1 << bits), np.uint8) if cells is None else cells
+        self.cells = np.zeros((ROWS, 1 << bits), kind) if cells is None else cells
+        self.most = np.iinfo(self.cells.dtype).max
 
     def _at(self, hashes: np.ndarray, row: int) -> np.ndarray:
         return ((hashes >> np.uint64(0 if row == 0 else 64 - self.bits)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
@@ -37,7 +39,7 @@ class Sketch:
     def add(self, hashes: np.ndarray) -> None:
         for row in range(ROWS):
             at, n = np.unique(self._at(hashes, row), return_counts=True)
-            self.cells[row, at] = np.minimum(self.cells[row, at].astype(np.int64) + n, 255)
+            self.cells[row, at] = np.minimum(self.cells[row, at].astype(np.int64) + n, self.most)
 
     def estimate(self, hashes: np.ndarray) -> np.ndarray:
         return np.minimum(self.cells[0, self._at(hashes, 0)], self.cells[1, self._at(hashes, 1)])
@@ -54,12 +56,12 @@ def _pack(slices: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return arrow({"slice": ([s for s, _ in slices], pa.int32()), "cells": ([c for _, c in slices], pa.binary())})
 
 
-def merged(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> Sketch:
+def merged(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, kind: str = "uint8") -> Sketch:
     """The sketch of all hashes that ``hashes_of`` yields for the batches of ``df``. Each task sends the slices it
     touched; slices are merged one at a time as they stream by, and only the merged ones reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Sketch(bits)
+        own = Sketch(bits, kind=kind)
         for batch in batches:
             for hashes in hashes_of(batch):
                 own.add(hashes)
@@ -71,18 +73,18 @@ def merged(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndar
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = np.frombuffer(zlib.decompress(cells), np.uint8)
+                new = np.frombuffer(zlib.decompress(cells), kind)
                 old = sums.get(s)
-                sums[s] = new.copy() if old is None else np.minimum(old.astype(np.uint16) + new, 255).astype(np.uint8)
+                sums[s] = new.copy() if old is None else np.minimum(old.astype(np.uint64) + new, np.iinfo(kind).max).astype(kind)
         for s, cells in sums.items():
             yield _pack([(s, zlib.compress(cells.tobytes(), 1))])
 
     schema = "slice int, cells binary"
-    total = Sketch(bits)
+    total = Sketch(bits, kind=kind)
     flat = total.cells.reshape(-1)
     parts = max(1, min(64, (ROWS << bits) // SLICE // 4))
     for row in df.mapInArrow(count, schema).repartition(parts, "slice").mapInArrow(merge, schema).toLocalIterator():
-        part = np.frombuffer(zlib.decompress(row["cells"]), np.uint8)
+        part = np.frombuffer(zlib.decompress(row["cells"]), kind)
         flat[row["slice"] * SLICE : row["slice"] * SLICE + len(part)] = part
     return total
 
