@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrion.plans import problems
+from papyrion.plans import problems, texts
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**texts.QUERIES, **problems.QUERIES}
+ORACLE = {**texts.ORACLE, **problems.ORACLE}
