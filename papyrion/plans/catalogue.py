@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrion.plans import problems, texts
+from papyrion.plans import problems, tables, texts
 
-QUERIES = {**texts.QUERIES, **problems.QUERIES}
-ORACLE = {**texts.ORACLE, **problems.ORACLE}
+QUERIES = {**texts.QUERIES, **tables.QUERIES, **problems.QUERIES}
+ORACLE = {**texts.ORACLE, **tables.ORACLE, **problems.ORACLE}
