@@ -120,7 +120,7 @@ def hex_color(col: Column) -> Column:
 
 def style_map(css: Column) -> Column:
     """CSS declarations as a map with lower-case names; of one name given twice the last counts, empty ones fall away."""
-    pairs = F.transform(F.split(css, ";"), lambda d: F.struct(F.lower(strip(F.split(d, ":", 2)[0])).alias("k"), strip(F.split(d, ":", 2)[1]).alias("v"), d.contains(":").alias("ok")))
+    pairs = F.transform(F.split(css, ";"), lambda d: F.struct(F.lower(strip(F.split(d, ":", 2)[0])).alias("k"), strip(F.get(F.split(d, ":", 2), 1)).alias("v"), d.contains(":").alias("ok")))
     good = F.filter(pairs, lambda p: p["ok"] & (p["k"] != "") & (p["v"] != ""))
     last = F.filter(good, lambda p, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))

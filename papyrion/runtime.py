@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -61,19 +62,34 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return target
 
 
+@contextmanager
+def released(spark: SparkSession):
+    """Lets Spark remove the shuffle files of what is written within as soon as it is written, instead of whenever the
+    driver happens to collect its garbage. What is written lies in the shared folder and needs them no more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once into the shared folder and returns a reader of it, so that lineage ends there and
     several consumers don't compute it again. Removed when the driver ends."""
     spark = session_of(df)
     target = shared_path(spark, label)
-    df.write.option("compression", "zstd").parquet(target)
+    with released(spark):
+        df.write.option("compression", "zstd").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 
 
 def store_counted(df: DataFrame, target: str) -> tuple[DataFrame, int]:
     """Writes ``df`` to ``target``, counting its rows on the way: the reader and the count, in one job."""
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(target)
+    with released(session_of(df)):
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(target)
     return session_of(df).read.schema(df.schema).parquet(target), seen.get["n"]
 
 

@@ -79,7 +79,7 @@ def texts(files: DataFrame) -> DataFrame:
 
 def csv_rows(files: DataFrame) -> DataFrame:
     """``path, row_no, header, cells, encoding, delimiter``: all cells text, rows filled to the widest. Lines are split
-    before they are read, so a line break within quotes parts a row."""
+    before they are read, so a line break within quotes is lost, not its row."""
 
     def read(path: str, content: bytes) -> Iterator[tuple]:
         text, encoding = decode(content)
