@@ -60,10 +60,10 @@ def _plan(tokens: DataFrame, targets: DataFrame, total: int | None) -> DataFrame
     both = have.join(want, F.col("source").eqNullSafe(F.col("name")), "full_outer").select(F.coalesce("source", "name").alias("source"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("cap", F.lit(0)).alias("cap"))
     usable = (F.col("available") > 0) & (F.col("share") > 0) & (F.col("cap") > 0)
     every = Window.partitionBy()  # a row a source
-    both = both.withColumn("goal", F.when(usable, F.col("share") / F.sum(F.when(usable, F.col("share"))).over(every)).otherwise(0.0))
-    most = F.min(F.when(usable, F.col("cap") * F.col("available") / F.col("goal"))).over(every)
+    both = both.withColumn("goal", F.when(usable, F.try_divide(F.col("share"), F.sum(F.when(usable, F.col("share"))).over(every))).otherwise(0.0))
+    most = F.min(F.when(usable, F.try_divide(F.col("cap") * F.col("available"), F.col("goal")))).over(every)
     size = most if total is None else F.lit(float(total))
-    return both.withColumn("copies", F.when(usable, F.least(F.col("cap").cast("double"), F.col("goal") * size / F.col("available"))).otherwise(0.0))
+    return both.withColumn("copies", F.when(usable, F.least(F.col("cap").cast("double"), F.try_divide(F.col("goal") * size, F.col("available")))).otherwise(0.0))
 
 
 def mixture(tokens: DataFrame, targets: DataFrame, source: str, share: str, cap: str, total: int | None = None, seed: int = 1, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -96,5 +96,5 @@ def mixture(tokens: DataFrame, targets: DataFrame, source: str, share: str, cap:
         "source", "documents", F.col("available").alias("available_tokens"), F.col("share").alias("target_share"), F.col("cap").alias("max_repeats"), F.col("copies").alias("expected_copies"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("mixed_documents", "most_copies", "mixed_tokens")],
     )
-    share_of = F.col("mixed_tokens") / F.sum("mixed_tokens").over(Window.partitionBy())
+    share_of = F.try_divide(F.col("mixed_tokens"), F.sum("mixed_tokens").over(Window.partitionBy()))
     return mixed, report.withColumn("reached_share", F.coalesce(share_of, F.lit(0.0)))
