@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.llm import sketch as cm
+from papyrion.llm.sketch import Sketch, opened
 from papyrion.llm.text import WORD, arrow, rows_of
 from papyrion.runtime import session_of
 
@@ -245,7 +246,7 @@ def read_pages(batch: pa.RecordBatch) -> Iterator[Page]:
         yield Page(key, url, host, site, nodes, titles_of(nodes))
 
 
-def _judged(page: Page, counts: cm.Sketch) -> list[int]:
+def _judged(page: Page, counts: Sketch) -> list[int]:
     """The seeds of a page, by the counts of the merged trees."""
 
     def of(keys: list[int]) -> np.ndarray:
@@ -282,8 +283,7 @@ def feature_weights(site_pages: DataFrame, shared) -> np.ndarray:
     Features met fewer than three times weigh nothing. A table of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, cells = shared.value
-        counts = cm.Sketch(bits, cells)
+        counts = opened(shared.value)
         seen = np.zeros((2, (1 << FEATURE_BITS) + 1), np.int64)  # the last cell counts the nodes
         for batch in batches:
             for page in read_pages(batch):

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.llm import sketch as cm
+from papyrion.llm.sketch import opened
 from papyrion.llm.text import CHUNK_CHARS, WordHashes, arrow, chunks, inside, rows_of, run_hashes, words
 from papyrion.runtime import small, store
 
@@ -67,16 +68,15 @@ def _gathered(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(gather, "key long, texts array<string>")
 
 
-SETS = "key long, n int, digest binary, first int, runs array<long>"
+SETS = "key long, n int, digest binary, first int, often int, runs array<long>"
 
 
 def _sets(texts: DataFrame, n: int, num: int, den: int, shared) -> DataFrame:
     """One row per record: the size of its set, a digest, and its runs estimated in several records, rare first, with
-    the position ``first`` of their first. Records with too many runs of their own to be similar to any are left out."""
+    the position ``first`` of their first; from the ``often``-th on the estimates are at their limit. Records with too many runs of their own to be similar to any are left out."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, cells = shared.value
-        counts, hashes = cm.Sketch(bits, cells), WordHashes()
+        counts, hashes = opened(shared.value), WordHashes()
         out: list[tuple] = []
 
         def close(key: int, parts: list[np.ndarray]) -> None:
@@ -90,12 +90,13 @@ def _sets(texts: DataFrame, n: int, num: int, den: int, shared) -> DataFrame:
             if (size - own) * den < num * size:
                 return
             order = np.lexsort((runs[known], often[known]))
-            out.append((key, size, xxhash.xxh3_128_digest(runs.tobytes()), own, runs[known][order].view(np.int64)))
+            full = int((often[known] >= counts.most).sum())
+            out.append((key, size, xxhash.xxh3_128_digest(runs.tobytes()), own, size - own - full, runs[known][order].view(np.int64)))
 
         def flush() -> pa.RecordBatch:
-            k, s, d, o, r = zip(*out, strict=True) if out else ((),) * 5
+            k, s, d, o, f, r = zip(*out, strict=True) if out else ((),) * 6
             out.clear()
-            return arrow({"key": (k, pa.int64()), "n": (s, pa.int32()), "digest": (d, pa.binary()), "first": (o, pa.int32()), "runs": (list(r), pa.list_(pa.int64()))})
+            return arrow({"key": (k, pa.int64()), "n": (s, pa.int32()), "digest": (d, pa.binary()), "first": (o, pa.int32()), "often": (f, pa.int32()), "runs": (list(r), pa.list_(pa.int64()))})
 
         current, parts, held = None, [], 0
         for batch in batches:
@@ -155,54 +156,78 @@ def _list_pairs(entries: list[tuple[int, int, int, int]], num: int, den: int, be
                         yield (key, key2, size, other) if key < key2 else (key2, key, other, size)
 
 
+PAIRS = {"a": pa.int64(), "b": pa.int64(), "na": pa.int32(), "nb": pa.int32()}
+
+
+def _list_starts(columns: list[np.ndarray]) -> np.ndarray:
+    run, task = columns[:2]
+    return np.concatenate([[0], np.flatnonzero((run[1:] != run[:-1]) | (task[1:] != task[:-1])) + 1]) if len(run) else np.zeros(1, np.int64)
+
+
+def _pairs_of_lists(columns: list[np.ndarray], starts: np.ndarray, num: int, den: int, before: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole lists, which start where ``starts`` says and end with the last of them. Lists of one entry give
+    none, lists of two are looked at all together, longer ones block by block."""
+    _, _, size, at, key, part = columns
+    lengths = np.diff(starts)
+    i = starts[:-1][lengths == 2]
+    if len(i):
+        sa, sb = size[i].astype(np.int64), size[i + 1].astype(np.int64)
+        need = -(-num * (sa + sb) // (num + den)) - before
+        fits = (sb <= sa * den // num) & (sa - at[i] >= need) & (at[i + 1] <= sb - need) & ((part[i] < 0) | (part[i] != part[i + 1]))
+        i = i[fits]
+        flip = key[i] > key[i + 1]
+        j, k = np.where(flip, i + 1, i), np.where(flip, i, i + 1)
+        yield arrow({n: (v, t) for (n, t), v in zip(PAIRS.items(), (key[j], key[k], size[j], size[k]), strict=True)})
+    out: list[tuple[int, int, int, int]] = []
+    for s, n in zip(starts[:-1][lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
+        own = slice(s, s + n)
+        out.extend(_list_pairs(list(zip(size[own].tolist(), at[own].tolist(), key[own].tolist(), part[own].tolist(), strict=True)), num, den, before))
+        if len(out) >= 50_000:
+            yield arrow({n: (v, t) for (n, t), v in zip(PAIRS.items(), zip(*out, strict=True), strict=True)})
+            out = []
+    if out:
+        yield arrow({n: (v, t) for (n, t), v in zip(PAIRS.items(), zip(*out, strict=True), strict=True)})
+
+
 def _cut(entries: DataFrame, part_size: int) -> DataFrame:
     """Adds ``task`` and ``part``: lists longer than ``part_size`` are cut into parts, and every two parts, or one part
-    with itself, form a task. In a task of two parts only pairs between them count."""
-    counts = entries.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_size)
+    with itself, form a task. In a task of two parts only pairs between them count. Only runs whose estimate is at its
+    limit, or that exceed a small ``part_size``, can have such lists; the others are not counted again."""
+    doubtful = entries.where("doubtful")
+    counts = doubtful.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_size)
     long_lists = store(counts.select("run", F.ceil(F.col("n") / part_size).cast("int").alias("parts")), "lists")
     n_long = long_lists.count()
-    plain = entries.select("run", "size", "at", "key", F.lit(0).alias("task"), F.lit(-1).alias("part"))
+    plain = entries.select("run", F.lit(0).alias("task"), "size", "at", "key", F.lit(-1).alias("part"))
     if not n_long:
         return plain
     plain = plain.join(small(long_lists.select("run"), n_long), "run", "left_anti")
-    placed = entries.join(small(long_lists, n_long), "run").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    placed = doubtful.join(small(long_lists, n_long), "run").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    task = (low * F.col("parts") + high + 1).cast("int")
+    task = (F.least("own", "other") * F.col("parts") + F.greatest("own", "other") + 1).cast("int")
     part = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))
-    return plain.unionByName(tasks.withColumn("task", task).withColumn("part", part).select("run", "size", "at", "key", "task", "part"))
+    return plain.unionByName(tasks.withColumn("task", task).withColumn("part", part).select("run", "task", "size", "at", "key", "part"))
 
 
 def _candidates(sets: DataFrame, num: int, den: int, common: int, part_size: int) -> DataFrame:
     """Pairs ``a, b`` of set ids that share enough of their first positions to be looked at."""
     # runs after the prefix are fewer than the least overlap, less what is asked of the prefix
     prefix = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + common
-    first = sets.select("key", F.col("n").alias("size"), "first", F.posexplode(F.slice("runs", F.lit(1), F.greatest(F.lit(0), F.least(prefix - F.col("first"), F.size("runs"))))).alias("i", "run"))
-    entries = store(first.select("run", "size", (F.col("first") + F.col("i")).alias("at"), "key"), "index")
+    first = sets.select("key", F.col("n").alias("size"), "first", "often", F.posexplode(F.slice("runs", F.lit(1), F.greatest(F.lit(0), F.least(prefix - F.col("first"), F.size("runs"))))).alias("i", "run"))
+    doubtful = F.lit(True) if part_size < 255 else F.col("i") >= F.col("often")
+    entries = first.select("run", "size", (F.col("first") + F.col("i")).alias("at"), "key", doubtful.alias("doubtful"))
     lists = _cut(entries, part_size).repartition("run", "task").sortWithinPartitions("run", "task", "size", "at", "key")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, entries = None, []
-        out: list[tuple[int, int, int, int]] = []
-
-        def flush() -> pa.RecordBatch:
-            a, b, na, nb = zip(*out, strict=True) if out else ((),) * 4
-            out.clear()
-            return arrow({"a": (a, pa.int64()), "b": (b, pa.int64()), "na": (na, pa.int32()), "nb": (nb, pa.int32())})
-
+        left: list[np.ndarray] | None = None
         for batch in batches:
-            for run, task, size, at, key, part in rows_of(batch):
-                if (run, task) != head:
-                    if len(entries) > 1:
-                        for pair in _list_pairs(entries, num, den, common - 1):
-                            out.append(pair)
-                            if len(out) >= 50_000:
-                                yield flush()
-                    head, entries = (run, task), []
-                entries.append((size, at, key, part))
-        if len(entries) > 1:
-            out.extend(_list_pairs(entries, num, den, common - 1))
-        yield flush()
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            if left is not None:
+                columns = [np.concatenate(c) for c in zip(left, columns, strict=True)]
+            starts = _list_starts(columns)
+            left = [c[starts[-1] :] for c in columns]  # the last list may go on
+            yield from _pairs_of_lists([c[: starts[-1]] for c in columns], starts, num, den, common - 1)
+        if left is not None:
+            yield from _pairs_of_lists(left, np.array([0, len(left[0])]), num, den, common - 1)
 
     pairs = lists.select("run", "task", "size", "at", "key", "part").mapInArrow(scan, "a long, b long, na int, nb int")
     need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
@@ -210,27 +235,61 @@ def _candidates(sets: DataFrame, num: int, den: int, common: int, part_size: int
     return met.where(F.col("met") >= F.least(F.lit(common), need)).select("a", "b", "na", "nb")
 
 
+#: Followers of one leader compared with it in one task.
+FOLLOWERS = 5000
+
+
+def _stars(sets: DataFrame, led: DataFrame) -> DataFrame:
+    """Each set compared once with its leader: ``a`` (leader)``, b, na, nb, common``, the leader's shared runs ``whole``,
+    and the differences ``without`` and ``more``. Every set travels once, to its leader; followers of a leader beyond
+    ``FOLLOWERS`` go to tasks of their own, each with a copy of the leader."""
+    stars = store(led.where("a = leader").select("leader", F.col("b").alias("id")), "stars")
+    sized = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).select("leader", F.ceil(F.col("n") / FOLLOWERS).cast("int").alias("salts"))
+    n = stars.count()
+    followers = stars.join(small(sized, n), "leader").select("leader", "id", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    roles = followers.unionByName(sized.select("leader", F.col("leader").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
+    placed = sets.select(F.col("key").alias("id"), "n", "runs").join(small(roles, 2 * n), "id").select("leader", "salt", "id", "n", "runs")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, size, whole = None, 0, np.empty(0, np.int64)
+        names = {"a": pa.int64(), "b": pa.int64(), "na": pa.int32(), "nb": pa.int32(), "common": pa.int32(), "whole": pa.int32(), "without": pa.list_(pa.int64()), "more": pa.list_(pa.int64())}
+        for batch in batches:
+            leaders, salts, ids, sizes = (batch.column(i).to_pylist() for i in range(4))
+            out: list[tuple] = []
+            for leader, salt, own, n, runs in zip(leaders, salts, ids, sizes, batch.column(4), strict=True):
+                runs = np.sort(runs.values.to_numpy())
+                if (leader, salt) != head:  # the least id, the leader's own row, comes first
+                    head, size, whole = (leader, salt), n, runs
+                    continue
+                without, more = np.setdiff1d(whole, runs, True), np.setdiff1d(runs, whole, True)
+                out.append((leader, own, size, n, len(whole) - len(without), len(whole), without, more))
+            columns = zip(*out, strict=True) if out else ((),) * 8
+            yield arrow({k: (list(v), t) for (k, t), v in zip(names.items(), columns, strict=True)})
+
+    schema = "a long, b long, na int, nb int, common int, whole int, without array<long>, more array<long>"
+    return placed.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "id").mapInArrow(compare, schema)
+
+
 def _answers(sets: DataFrame, candidates: DataFrame, num: int, den: int) -> DataFrame:
     """Similar pairs ``a, b, common, na, nb`` of the candidates. A set's leader is its first candidate partner; answers
     of two followers of one leader are derived from their differences to it, others are computed."""
-    runs = sets.select(F.col("key").alias("id"), "runs")
-    left, right = runs.select(F.col("id").alias("a"), F.col("runs").alias("ra")), runs.select(F.col("id").alias("b"), F.col("runs").alias("rb"))
+    candidates = store(candidates, "candidates")
     leaders = candidates.groupBy("b").agg(F.min("a").alias("leader"))
-    led = store(candidates.join(leaders, "b"), "candidates")
-    star = led.where("a = leader").join(left, "a").join(right, "b").select(
-        "a", "b", "na", "nb", F.size(F.array_intersect("ra", "rb")).alias("common"), F.size("ra").alias("whole"),
-        F.array_except("ra", "rb").alias("without"), F.array_except("rb", "ra").alias("more"),
-    )
-    star = store(star, "leaders")
+    led = candidates.join(leaders, "b")
+    star = store(_stars(sets, led), "leaders")
     by = star.select("a", "b", "whole", "without", "more")
     one = by.select(F.col("a").alias("leader1"), F.col("b").alias("a"), "whole", F.col("without").alias("w1"), F.col("more").alias("m1"))
     two = by.select(F.col("a").alias("leader"), "b", F.col("without").alias("w2"), F.col("more").alias("m2"))
-    rest = led.where("a <> leader").join(one, "a", "left")
-    same = rest.where("leader1 = leader").join(two, ["leader", "b"])
+    rest = led.where("a <> leader").select("a", "b", "na", "nb", "leader")
+    known = rest.join(star.select(F.col("b").alias("a"), F.col("a").alias("leader1")), "a", "left")
+    same = known.where("leader1 = leader").select("a", "b", "na", "nb", "leader").join(one.drop("leader1"), "a").join(two, ["leader", "b"])
     missing = F.size("w1") + F.size("w2") - F.size(F.array_intersect("w1", "w2"))
     derived = same.select("a", "b", "na", "nb", (F.col("whole") - missing + F.size(F.array_intersect("m1", "m2"))).alias("common"))
-    direct = rest.where("leader1 is null or leader1 <> leader").select("a", "b", "na", "nb").join(left, "a").join(right, "b")
-    direct = direct.select("a", "b", "na", "nb", F.size(F.array_intersect("ra", "rb")).alias("common"))
+    others = store(known.where("leader1 is null or leader1 <> leader").select("a", "b", "na", "nb"), "others")
+    ids = others.select(F.col("a").alias("key")).unionByName(others.select(F.col("b").alias("key"))).distinct()
+    runs = sets.join(small(ids, 2 * others.count()), "key", "left_semi").select("key", "runs")
+    left, right = runs.select(F.col("key").alias("a"), F.col("runs").alias("ra")), runs.select(F.col("key").alias("b"), F.col("runs").alias("rb"))
+    direct = others.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ra", "rb")).alias("common"))
     found = star.select("a", "b", "na", "nb", "common").unionByName(derived).unionByName(direct)
     return found.where(F.col("common") * den >= num * (F.col("na") + F.col("nb") - F.col("common")))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from papyrion.llm.text import arrow
-from papyrion.runtime import session_of
+from papyrion.runtime import session_of, store
 
 ROWS, LEAST_BITS, MOST_BITS, WIDE_BITS = 2, 16, 26, 22
 SLICE = 1 << 16
@@ -83,12 +83,20 @@ def merged(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndar
     total = Sketch(bits, kind=kind)
     flat = total.cells.reshape(-1)
     parts = max(1, min(64, (ROWS << bits) // SLICE // 4))
-    for row in df.mapInArrow(count, schema).repartition(parts, "slice").mapInArrow(merge, schema).toLocalIterator():
+    for row in store(df.mapInArrow(count, schema).repartition(parts, "slice").mapInArrow(merge, schema), "sketch").toLocalIterator():
         part = np.frombuffer(zlib.decompress(row["cells"]), kind)
         flat[row["slice"] * SLICE : row["slice"] * SLICE + len(part)] = part
     return total
 
 
 def share(df: DataFrame, sketch: Sketch):
-    """The sketch as a broadcast; its size is fixed, see above."""
-    return session_of(df).sparkContext.broadcast((sketch.bits, sketch.cells))
+    """The sketch as a broadcast, compressed: every executor keeps a copy on its disk. Its size is fixed, see above."""
+    packed = pa.compress(sketch.cells.tobytes(), codec="zstd", asbytes=True)
+    return session_of(df).sparkContext.broadcast((sketch.bits, sketch.cells.dtype.str, packed))
+
+
+def opened(value: tuple[int, str, bytes]) -> Sketch:
+    """A worker's own copy of a sketch that was shared."""
+    bits, kind, packed = value
+    size = (ROWS << bits) * np.dtype(kind).itemsize
+    return Sketch(bits, np.frombuffer(pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True), kind).reshape(ROWS, -1))

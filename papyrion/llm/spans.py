@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.llm import sketch as cm
+from papyrion.llm.sketch import opened
 from papyrion.llm.text import arrow, chunks, mixed, rows_of
 from papyrion.runtime import small, store
 
@@ -114,8 +115,7 @@ def _members(df: DataFrame, length: int, width: int, shared) -> DataFrame:
     rest = length - width
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, cells = shared.value
-        counts = cm.Sketch(bits, cells)
+        counts = opened(shared.value)
         powers = Powers(np.empty(0, np.uint64), np.empty(0, np.uint64))
         for batch in batches:
             for rows in chunks(r for r in rows_of(batch) if len(r[-1]) >= length):
