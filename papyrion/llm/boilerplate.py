@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from papyrion.llm import sketch as cm
 from papyrion.llm.sketch import Sketch, opened
 from papyrion.llm.text import WORD, arrow, rows_of
-from papyrion.runtime import session_of
+from papyrion.runtime import partitions_for, session_of
 
 LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)[^)]*\)")
 MARKER = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+", re.M)
@@ -152,7 +152,7 @@ def path_of(url: str | None) -> list[str]:
     return (url or "").lower().split("?")[0].split("/")[3:]
 
 
-def features(nodes: list[Node], i: int, titles: set[str], url: str | None) -> list[str]:
+def features(nodes: list[Node], i: int, titles: set[str], url: str | None) -> set[str]:
     """Content and presentation features of a node in its page."""
     n = nodes[i]
     words = n.canon.partition("|")[2].split(" ")
@@ -171,7 +171,7 @@ def features(nodes: list[Node], i: int, titles: set[str], url: str | None) -> li
         found.add("trail")
     if n.text.rstrip().endswith("…"):
         found.add("cut")
-    return sorted(found)
+    return found
 
 
 def titles_of(nodes: list[Node]) -> set[str]:
@@ -224,7 +224,8 @@ def pages(df: DataFrame, page: str, block: str, url: str, kind: str, text: str,
     with one key the last stored counts. Rows without page or block number are left out."""
     row = F.struct(F.col(f"`{late}`").alias("late"), F.col(f"`{url}`").alias("url"), F.col(f"`{kind}`").alias("kind"), F.col(f"`{text}`").alias("txt"))
     one = df.select(F.col(f"`{page}`").cast("long").alias("package_id"), F.col(f"`{block}`").cast("int").alias("block_no"), row.alias("row")).where("package_id is not null and block_no is not null")
-    one = one.groupBy("package_id", "block_no").agg(F.max("row").alias("row"))
+    # repeated rows shrink before they travel; the pages then lie in as many parts as there are tasks, not in a few
+    one = one.groupBy("package_id", "block_no").agg(F.max("row").alias("row")).repartition(2 * partitions_for(session_of(df)), "package_id")
     return one.groupBy("package_id").agg(F.max("row.url").alias("url"), F.array_sort(F.collect_list(F.struct("block_no", F.col("row.kind").alias("kind"), F.col("row.txt").alias("txt")))).alias("blocks"))
 
 
@@ -263,8 +264,17 @@ def _judged(page: Page, counts: Sketch) -> list[int]:
     return seeds(page.nodes, often, bare, page.titles, page.url, page.site)
 
 
-def _cells(names: list[str]) -> np.ndarray:
-    return (np.array([key_of("feature", x) for x in names], np.uint64) & np.uint64((1 << FEATURE_BITS) - 1)).astype(np.int64)
+class Cells(dict):
+    """The cell of each feature in the table of weights, remembered."""
+
+    def __missing__(self, name: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        cell = self[name] = xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass")) & ((1 << FEATURE_BITS) - 1)
+        return cell
+
+    def of(self, names: set[str]) -> list[int]:
+        return sorted({self[n] for n in names})
 
 
 def _tree_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -285,11 +295,12 @@ def feature_weights(site_pages: DataFrame, shared) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = opened(shared.value)
         seen = np.zeros((2, (1 << FEATURE_BITS) + 1), np.int64)  # the last cell counts the nodes
+        cells_of = Cells()
         for batch in batches:
             for page in read_pages(batch):
                 for i, s in enumerate(_judged(page, counts)):
                     if s >= 0:
-                        seen[s, np.unique(_cells(features(page.nodes, i, page.titles, page.url)))] += 1
+                        seen[s, cells_of.of(features(page.nodes, i, page.titles, page.url))] += 1
                         seen[s, -1] += 1
         at = np.flatnonzero(seen.any(axis=0))
         yield arrow({"cell": (at, pa.int32()), "low": (seen[0, at], pa.int64()), "high": (seen[1, at], pa.int64())})
@@ -306,14 +317,19 @@ def feature_weights(site_pages: DataFrame, shared) -> np.ndarray:
 
 def judge(site_pages: DataFrame) -> DataFrame:
     """``package_id, block_no, kind, txt, importance, main`` of each block. ``site_pages`` as ``pages`` gives them, stored: they
-    are read three times (counts of the trees, weights of the features, judgement), never gathered by host."""
+    are read three times (counts of the trees, weights of the features, judgement), never gathered by host.
+
+    Every block gets a row: a null text counts as empty, a null kind as a kind of its own, a page without a readable
+    address belongs to no host and is judged by the tree of all hosts. Equal importance 0 is main. A page is a unit of
+    work, with all its blocks in one row; an empty table gives no rows.
+    """
     blocks = site_pages.agg(F.sum(F.size("blocks"))).first()[0] or 0
     counts = cm.merged(site_pages, _batched_keys, cm.bits_for(4 * blocks))
     shared = cm.share(site_pages, counts)
     weights = session_of(site_pages).sparkContext.broadcast(feature_weights(site_pages, shared))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
+        w, cells_of = weights.value, Cells()
         for batch in batches:
             out: list[tuple] = []
             for page in read_pages(batch):
@@ -323,7 +339,7 @@ def judge(site_pages: DataFrame) -> DataFrame:
                     elif heads_page(n, page.url, page.titles) or told(n, page.titles, page.url, page.site):
                         score = 99.0
                     else:
-                        score = float(w[np.unique(_cells(features(page.nodes, i, page.titles, page.url)))].sum())
+                        score = float(w[cells_of.of(features(page.nodes, i, page.titles, page.url))].sum(dtype=np.float64))
                     out.append((page.key, n.block_no, n.kind, n.text, score, score >= 0))
             key, no, kind, text, score, main = zip(*out, strict=True) if out else ((),) * 6
             yield arrow({"package_id": (key, pa.int64()), "block_no": (no, pa.int32()), "kind": (kind, pa.string()), "txt": (text, pa.string()), "importance": (score, pa.float64()), "main": (main, pa.bool_())})
