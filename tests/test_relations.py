@@ -45,7 +45,7 @@ def test_upsert_and_union(spark, rows):
 def test_scalars(spark):
     df = spark.createDataFrame([("Color: RED; color : blue;x;font:",)], "css string")
     r = df.select(S.style_map(F.col("css")).alias("m"), S.hex_color(F.lit("#a0b1C2")).alias("h"), S.hex_color(F.lit("auto")).alias("n"), S.safe_stem(F.lit("  ü?.md ")).alias("s"), S.safe_stem(F.lit("??")).alias("d")).first()
-    assert (r.m, r.h, r.n, r.s, r.d) == ({"color": "blue"}, "#A0B1C2", None, "_.md", "document")
+    assert (r.m, r.h, r.n, r.s, r.d) == ({"color": "blue"}, "#A0B1C2", None, "md", "document")
     g = df.select(S.git_provider(F.lit("https://github.com/a/b.git")).alias("a"), S.git_provider(F.lit("https://git.x.org/g/sub/p/")).alias("b")).first()
     assert tuple(g.a) == ("github", "github.com", "a/b") and tuple(g.b) == ("gitlab", "git.x.org", "g/sub/p")
     t = df.select(S.clean_title(F.lit(" Document1 ")).alias("a"), S.clean_title(F.lit("Microsoft Word - x.docx")).alias("b"), S.clean_title(F.lit("a\n b")).alias("c")).first()
