@@ -94,11 +94,11 @@ def depths(text: str, offsets: list[int], block: int = BLOCK_WORDS) -> list[floa
 
 
 def limits(size: int | None, overlap: int | None) -> tuple[int, int]:
-    """Size and overlap in use: null or less than one means the default; the overlap is held to a third of the size, so
-    that pieces always advance."""
+    """Size and overlap in use: null or less than one means the default; an overlap of the size or more, with which no
+    piece would advance, is the size less one."""
     size = SIZE if size is None or size < 1 else size
     overlap = OVERLAP if overlap is None else max(0, overlap)
-    return size, min(overlap, size // 3)
+    return size, min(overlap, size - 1)
 
 
 def pieces(text: str, size: int | None, overlap: int | None) -> list[tuple[int, int, int, str]]:
@@ -118,18 +118,25 @@ def pieces(text: str, size: int | None, overlap: int | None) -> list[tuple[int,
     names = {SECTION: "section", PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence"}
     out, start, lap = [], 0, 0
     while n - start > size:
-        last, first = start + size, start + lap + max(1, int((size - lap) * FILLED))
+        # a cut lies after what is repeated, and if possible leaves the next piece enough to repeat
+        after = start + max(lap + 1, overlap)
+        last, first = start + size, max(after, start + lap + max(1, int((size - lap) * FILLED)))
         i, j = bisect_left(offsets, first), bisect_right(offsets, last)
-        if i == j:  # nothing in the fuller half: anything after the overlap
-            i = bisect_right(offsets, start + lap)
+        k = bisect_right(blanks, last) - 1
+        spaced = k >= 0 and blanks[k] >= after
+        if i == j:  # nothing in the fuller half: anything that leaves enough, or rather a short piece than a cut word
+            i = bisect_left(offsets, after)
+            if i >= j and not spaced:
+                i = bisect_right(offsets, start + lap)
         if i < j:
             best = max(range(i, j), key=lambda k: (deep[k] + BONUS[ranks[offsets[k]]], offsets[k]))
             end, how = offsets[best], names[ranks[offsets[best]]]
+        elif k >= 0 and blanks[k] > start + lap:
+            end, how = blanks[k], "blank"
         else:
-            k = bisect_right(blanks, last) - 1
-            end, how = (blanks[k], "blank") if k >= 0 and blanks[k] > start + lap else (last, "character")
+            end, how = last, "character"
         out.append((start, end, lap, how))
-        lap = min(overlap, end - start)
+        lap = min(overlap, end - start)  # a shorter piece is repeated whole
         start = end - lap
     out.append((start, n, lap, "end"))
     return out
@@ -158,6 +165,9 @@ def split(df: DataFrame, key: str, text: str, size: str, overlap: str, stated: s
     """
     names = {"key": pa.int64(), "piece_no": pa.int32(), "span_start": pa.int32(), "span_end": pa.int32(), "overlap": pa.int32(), "ends_at": pa.string(), "piece": pa.string(), "pieces": pa.int32(), "stated": pa.int32()}
 
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return arrow({n: (v, ty) for (n, ty), v in zip(names.items(), zip(*out, strict=True) if out else [()] * len(names), strict=True)})
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -165,11 +175,12 @@ def split(df: DataFrame, key: str, text: str, size: str, overlap: str, stated: s
             for k, t, s, o, c in rows_of(batch):
                 t = read_newlines(t)
                 parts = pieces(t, s, o)
-                out += [(k, i, a, b, lap, how, t[a:b], len(parts), c) for i, (a, b, lap, how) in enumerate(parts, 1)]
-                held += len(t)
-                if held > 4_000_000:
-                    yield arrow({n: (v, ty) for (n, ty), v in zip(names.items(), zip(*out, strict=True), strict=True)} if out else {n: ([], ty) for n, ty in names.items()})
-                    out, held = [], 0
-            yield arrow({n: (v, ty) for (n, ty), v in zip(names.items(), zip(*out, strict=True), strict=True)} if out else {n: ([], ty) for n, ty in names.items()})
+                for i, (a, b, lap, how) in enumerate(parts, 1):
+                    out.append((k, i, a, b, lap, how, t[a:b], len(parts), c))
+                    held += b - a  # wide overlaps repeat a text many times
+                    if held > 4_000_000:
+                        yield packed(out)
+                        out, held = [], 0
+            yield packed(out)
 
     return _texts(df, key, text, size, overlap, stated).mapInArrow(cut, "key long, piece_no int, span_start int, span_end int, overlap int, ends_at string, piece string, pieces int, stated int")

@@ -36,6 +36,17 @@ def test_boundaries_are_preferred():
     assert check("word " * 200, 300, 30)[0][3] == "blank"
 
 
+def test_any_overlap_below_the_size_is_kept():
+    text = "Alpha beats beta. " * 40 + "\n\n# B\n\n" + "Gamma rules delta and more. " * 60 + "x" * 700
+    for size, overlap in ((300, 200), (400, 150), (800, 400), (1000, 400), (100, 99), (7, 6), (400, 400), (400, 900)):
+        found = check(text, size, overlap)
+        wanted = min(overlap, size - 1)
+        assert len(found) > 1 and all(lap == min(wanted, before[1] - before[0]) for before, (_, _, lap, _) in zip(found, found[1:], strict=False))
+        assert overlap * 2 >= size or all(lap == overlap for _, _, lap, _ in found[1:])
+        assert found[-1][2] == wanted
+        assert all(text[a : a + lap] == text[before[1] - lap : before[1]] for before, (a, _, lap, _) in zip(found, found[1:], strict=False))
+
+
 def test_cohesion_valley_between_equal_boundaries():
     a, b = "red apple tree fruit garden. ", "steel engine motor wheel gear. "
     text = a * 9 + b * 9
