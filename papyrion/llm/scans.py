@@ -8,6 +8,7 @@ length, each with the first pages after it for context.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ RANGE_PAGES, CONTEXT_PAGES = 256, 2
 EDGE_LINES = 3
 #: How alike two edge lines are at least to be the same.
 ALIKE = 0.86
+#: How much two of them may differ in length, and on how many pages a line stands that runs over them in any case.
+NEAR, OFTEN = 4, 3
 #: A word is taken for misread if a reading of it is so many times as frequent, and has been met so often.
 RATIO, KNOWN = 4, 4
 
@@ -172,15 +175,7 @@ def furniture(pages: list[tuple[int, list[str]]]) -> set[tuple[int, int]]:
     for top in (True, False):
         for b in {(e.page, e.bare) for e in edges if e.top == top and not e.pure and usable(e)}:
             met[top][b[1]] += 1
-    merged: dict[tuple[bool, str], int] = {}
-    for top, counts in met.items():
-        often = [b for b, n in counts.most_common(64)]
-        for b, n in counts.items():
-            total = n
-            for other in often:
-                if other != b and abs(len(other) - len(b)) <= 4 and alike(b, other):
-                    total += counts[other]
-            merged[top, b] = total
+    merged = {(top, b): n for top, counts in met.items() for b, n in repeated(counts).items()}
 
     def runs(e: Edge) -> bool:
         fits = any((e.top, n - pages[e.page][0]) in usual for n in e.numbers)
@@ -245,6 +240,54 @@ def alike(a: str, b: str) -> bool:
     return m.real_quick_ratio() >= ALIKE and m.quick_ratio() >= ALIKE and m.ratio() >= ALIKE
 
 
+def pairs_of_letters(text: str) -> list[tuple[str, int]]:
+    """Neighbouring letters, numbered where they come again, so that sets of them meet as often as the letters do."""
+    seen: Counter = Counter()
+    out = []
+    for pair in zip(text, text[1:], strict=False):
+        seen[pair] += 1
+        out.append(("".join(pair), seen[pair]))
+    return out
+
+
+def shared_at_least(a: int, b: int) -> int:
+    """Pairs of letters that two lines of these lengths share at least if they are alike: of a common part of m letters
+    a line's own a - m letters break two pairs each, and the other's b - m one each."""
+    m = math.ceil(ALIKE * (a + b) / 2 - 1e-9)
+    return 3 * m - a - b - 1
+
+
+def repeated(counts: Counter) -> dict[str, int]:
+    """On how many pages each line stands, it or one like it; counted on only until ``OFTEN``. Each line meets all
+    others that share a rare pair of letters, which lines that are alike must (prefix filter)."""
+    total = dict(counts)
+    pairs = {b: frozenset(pairs_of_letters(b)) for b in counts}
+    rank = Counter(x for own in pairs.values() for x in own)
+    index: dict[tuple[str, int], list[str]] = defaultdict(list)
+    rare: dict[str, list[tuple[str, int]]] = {}
+    for b, own in pairs.items():
+        least = min((shared_at_least(len(b), n) for n in range(max(1, len(b) - NEAR), len(b) + NEAR + 1)), default=1)
+        rare[b] = sorted(own, key=lambda x: (rank[x], x))[: len(own) - max(1, least) + 1]
+        for x in rare[b]:
+            index[x].append(b)
+    for b, n in counts.items():
+        seen = {b}
+        own = pairs[b]
+        for x in rare[b]:
+            if n >= OFTEN:
+                break
+            for other in index[x]:
+                if other in seen:
+                    continue
+                seen.add(other)
+                if abs(len(other) - len(b)) <= NEAR and len(own & pairs[other]) >= shared_at_least(len(b), len(other)) and alike(b, other):
+                    n += counts[other]
+                    if n >= OFTEN:
+                        break
+        total[b] = n
+    return total
+
+
 def readings(word: str) -> Iterator[str]:
     """What a word in lower case may have been: one shape set right, or all signs, or a lost letter."""
     signs = [i for i, c in enumerate(word) if c in SIGNS]

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from papyrion.llm import scans
@@ -48,6 +49,31 @@ def test_misread_header_counts_and_body_numbers_dont():
     assert (3, 1, "furniture") in found and (1, 4, "furniture") not in found
 
 
+def test_misread_headers_of_a_long_document():
+    rng = random.Random(5)
+    title = "department of measured interfaces"
+    line = lambda: "".join(rng.choice("bcdefgkmpqswxyz ") for _ in range(40)).strip() + " end"
+    own = []
+    for i in range(1, 401):
+        own.append((i, [line(), "", *(line() for _ in range(8))]))
+    for i, at in ((397, 3), (398, 12), (399, 20)):  # each misread in its own way
+        own[i][1][0] = title[:at] + "~" + title[at + 1 :]
+    assert {(397, 0), (398, 0), (399, 0)} <= scans.furniture(own)
+
+
+def test_repeated_lines_against_all_pairs():
+    rng = random.Random(11)
+    for _ in range(30):
+        lines = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 16))) for _ in range(30)]
+        for x in list(lines):
+            at = rng.randint(0, len(x))
+            lines += [x[:at] + rng.choice("abz") + x[at + rng.randint(0, 1) :], x[:at] + x[at + 1 :]]
+        counts = Counter(lines)
+        brute = {b: n + sum(m for o, m in counts.items() if o != b and abs(len(o) - len(b)) <= 4 and scans.alike(b, o)) for b, n in counts.items()}
+        got = scans.repeated(counts)
+        assert {b: min(n, 3) for b, n in brute.items()} == {b: min(n, 3) for b, n in got.items()}
+
+
 def test_words_broken_over_lines_and_pages():
     own = [(1, ["the second inter-", "face was approved by the re-"]), (2, ["viewer and another re¬", "port"])]
     found = noise(own)
