@@ -225,14 +225,12 @@ def numeral(n: Column, form: Column) -> Column:
     for value, sign in ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
         roman = F.concat(roman, F.repeat(F.lit(sign), F.floor(rest / value).cast("int")))
         rest = rest % value
-    # letters count without zero: a..z, aa..zz, aaa..
-    one, two, three = n - 1, n - 27, n - 703
-    letter = lambda x: F.chr(F.lit(65) + x.cast("int"))
-    letters = (
-        F.when(n <= 26, letter(one))
-        .when(n <= 702, F.concat(letter(F.floor(two / 26)), letter(two % 26)))
-        .otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26) % 26), letter(three % 26)))
-    )
+    # letters count without zero: a..z, aa..zz, aaa..; a long has at most 14. Each place starts at the first number that has it
+    whole, letters = n.cast("long"), F.lit("")
+    for place in range(14):
+        start = (26 ** (place + 1) - 26) // 25 + 1
+        at = F.call_function("div", whole - F.lit(start), F.lit(26**place)) % 26
+        letters = F.concat(F.when(whole >= F.lit(start), F.chr(F.lit(65) + at.cast("int"))).otherwise(""), letters)
     return (
         F.when((form == "upperRoman") & (n > 0), roman)
         .when((form == "lowerRoman") & (n > 0), F.lower(roman))

@@ -163,6 +163,14 @@ def numerals(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("n", S.numeral(n, F.lit("upperRoman")).alias("roman"), S.numeral(n, F.lit("upperLetter")).alias("letters"))
 
 
+@query()
+def numerals_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``numerals``, whose SQL stops at 3999, for all part keys."""
+    n = F.col("n")
+    rows = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("n")).where("n is not null").distinct()
+    return rows.select("n", S.numeral(n, F.lit("upperRoman")).alias("roman"), S.numeral(n, F.lit("upperLetter")).alias("letters"))
+
+
 
 @query("""SELECT p_partkey, CAST(greatest(1, round_even(p_retailprice * 100 / 9525, 0)) AS INTEGER) AS emu_px, CAST(greatest(1, round_even(p_size * 96.0 / 72, 0)) AS INTEGER) AS pt_px FROM part""")
 def drawing_units(spark: SparkSession, folder: str) -> DataFrame:

@@ -75,3 +75,26 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "package_id long, block_no int, kind string, heading_level int, txt string, src string")
     assert flat.documents(none, "package_id", "block_no").count() == 0
     assert R.duplicate_stats(none.select(F.col("txt").alias("d")), "d").first().duplicates == 0
+
+
+def test_letters_of_any_length(spark):
+    def letters(n):
+        out = ""
+        while n:
+            n, rem = divmod(n - 1, 26)
+            out = chr(65 + rem) + out
+        return out
+
+    numbers = [1, 26, 27, 702, 703, 18278, 18279, 20000, 475254, 475255, 10**12, 2**63 - 1]
+    got = {r.n: r.l for r in spark.createDataFrame([(n,) for n in numbers], "n long").select("n", S.numeral(F.col("n"), F.lit("upperLetter")).alias("l")).collect()}
+    assert got == {n: letters(n) for n in numbers}
+
+
+def test_whole_tables_for_numerals_and_cascade(spark, tmp_path):
+    from papyrion.plans import catalogue
+
+    spark.createDataFrame([(n,) for n in (1, 3999, 4000, 20000, 20000)], "l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert sorted(r.n for r in catalogue.QUERIES["numerals_all"](spark, str(tmp_path)).collect()) == [1, 3999, 4000, 20000]
+    spark.createDataFrame([(1, "s", "en", "md"), (2, "s", "en", "pdf"), (7, "t", "fr", "md")], "package_id long, space_key string, lang string, source_format string").write.parquet(str(tmp_path / "packages.parquet"))
+    got = {r.request_id: (r.value, r.level) for r in catalogue.QUERIES["state_cascade_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 0), 2: (2, 0), 7: (7, 0)}
