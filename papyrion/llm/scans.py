@@ -2,8 +2,7 @@
 
 Running headers, footers and page numbers are found by fuzzy repetition of lines at page edges and by the sequence of
 their numbers; words broken over lines are joined, and misread characters set right, by the vocabulary of the whole
-corpus. Word counts come from a sketch of fixed size. Pages of a document are read together in ranges of bounded
-length, each with the first pages after it for context.
+corpus. Word counts are exact: a sketch of fixed size only says which of them can matter. A document is read whole in one task.
 """
 
 from __future__ import annotations
@@ -24,9 +23,8 @@ from pyspark.sql import functions as F
 from papyrion.llm import sketch as cm
 from papyrion.llm.sketch import Sketch, opened
 from papyrion.llm.text import arrow, rows_of
+from papyrion.runtime import store
 
-#: Pages of a document read together, and how many of the next range are read with them.
-RANGE_PAGES, CONTEXT_PAGES = 256, 2
 #: Lines that are not blank at each edge of a page among which furniture is looked for.
 EDGE_LINES = 3
 #: How alike two edge lines are at least to be the same.
@@ -62,19 +60,71 @@ def key_of(word: str) -> int:
 
 
 class Counts:
-    """Word frequencies over the corpus, estimated; remembered for each worker."""
+    """Word frequencies over the corpus: exact for the words ``asked`` named, 0 for others, whose counts decide nothing."""
 
-    def __init__(self, sketch: Sketch):
-        self.sketch, self.known, self.read = sketch, {}, {}
+    def __init__(self):
+        self.exact: dict[int, int] = {}
+        self.read: dict[str, str | None] = {}
 
     def __call__(self, word: str) -> int:
-        n = self.known.get(word)
+        return self.exact.get(key_of(word), 0)
+
+
+class Asking:
+    """Stands in for the counts to find out which of them can matter. A sketch never underestimates: a word it has not
+    met has count 0, and where no reading can be frequent enough, none is asked for."""
+
+    def __init__(self, sketch: Sketch):
+        self.sketch = sketch
+        self.bounds: dict[str, int] = {}
+        self.of_token: dict[str, frozenset[str]] = {}
+
+    def bound(self, word: str) -> int:
+        n = self.bounds.get(word)
         if n is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            n = self.known[word] = int(self.sketch.estimate(np.array([key_of(word)], np.uint64))[0])
+            if len(self.bounds) > 500_000:
+                self.bounds.clear()
+            n = self.bounds[word] = int(self.sketch.estimate(np.array([key_of(word)], np.uint64))[0])
         return n
 
+    def token(self, token: str) -> frozenset[str]:
+        """The words whose counts decide how a token is read, whichever way ``_misread`` goes."""
+        found = self.of_token.get(token)
+        if found is None:
+            if len(self.of_token) > 500_000:
+                self.of_token.clear()
+            words: set[str] = set()
+            for part in re.split(r"(['’\-])", split_token(token)[1]):
+                if len(part) > 1:
+                    words |= self.word(part)
+                    if part[-1] == "!" and part[:-1].isalpha():
+                        words |= self.word(part[:-1]) | {part[:-1].lower()}
+            found = self.of_token[token] = frozenset(w for w in words if self.bound(w))
+        return found
+
+    def word(self, word: str) -> set[str]:
+        low = word.lower()
+        possible = {r for r in readings(low) if self.bound(r)}
+        least = 2 if damaged(low) else KNOWN
+        return possible | {low} if any(self.bound(r) >= least for r in possible) else set()
+
+
+def asked(pages: list[tuple[int, list[str]]], asking: Asking) -> set[int]:
+    """Keys of all words whose counts ``repair`` may need for these pages."""
+    marks = furniture(pages)
+    lines = [text for p, (_, own) in enumerate(pages) for i, text in enumerate(own) if text.strip() and (p, i) not in marks]
+    words: set[str] = set()
+    for text, after in zip(lines, [*lines[1:], None], strict=False):
+        for token in text.split():
+            words |= asking.token(token)
+        half = broken_end(text)
+        if half and after is not None:
+            rest = after.split()[0]
+            words |= asking.token(half[0]) | asking.token(half[0] + rest)
+            if half[1] not in ALWAYS:
+                words |= {w for group in ways(half[0], rest) for w in group if asking.bound(w)}
+    return {key_of(w) for w in words}
+
 
 def vocabulary_of(text: str) -> list[str]:
     """Words of a page in lower case, but not the halves of words broken at a line's end; with compounds."""
@@ -125,7 +175,7 @@ def skeleton(text: str) -> str:
 
 @dataclass
 class Edge:
-    page: int  # index in the range
+    page: int  # index in the document
     line: int  # index in the page
     top: bool
     depth: int  # how many other edge lines lie further out
@@ -309,11 +359,16 @@ def readings(word: str) -> Iterator[str]:
             i = word.find(shape, i + 1)
 
 
+def damaged(low: str) -> bool:
+    """Whether a word has a lost letter, or signs among its letters."""
+    return LOST in low or (any(c in SIGNS for c in low) and any(c.isalpha() for c in low))
+
+
 def repaired(word: str, counts: Counts) -> str | None:
     """The likeliest reading of a misread word, None if the word stands as it is. Case follows the word."""
     low = word.lower()
-    damaged = LOST in low or (any(c in SIGNS for c in low) and any(c.isalpha() for c in low))
-    if not damaged and (len(low) < 3 or not low.replace("'", "").replace("’", "").isalpha()):
+    spoilt = damaged(low)
+    if not spoilt and (len(low) < 3 or not low.replace("'", "").replace("’", "").isalpha()):
         return None
     own = counts(low)
     best, most = None, 0
@@ -321,7 +376,7 @@ def repaired(word: str, counts: Counts) -> str | None:
         n = counts(r)
         if n > most:
             best, most = r, n
-    if best is None or most < (2 if damaged else KNOWN) or most < RATIO * own:
+    if best is None or most < (2 if spoilt else KNOWN) or most < RATIO * own:
         return None
     if word.isupper():
         return best.upper()
@@ -386,18 +441,26 @@ def broken_end(line: str) -> tuple[str, str] | None:
     return bare.split()[-1][:-1], bare[-1]
 
 
+def first_part(rest: str) -> str:
+    return split_token(rest)[1].split("-")[0].split("'")[0].split("’")[0].lower()
+
+
+def ways(half: str, rest: str) -> tuple[list[str], list[str]]:
+    """What a broken word may be without its mark, and with it."""
+    a, b = split_token(half)[1].split("-")[-1].split("'")[-1].split("’")[-1].lower(), first_part(rest)
+    whole, compound = split_token(half)[1].lower() + "-" + split_token(rest)[1].lower(), a + "-" + b
+    return [a + b, *readings(a + b)], [whole, compound, *readings(compound)]
+
+
 def joins(half: str, mark: str, rest: str, counts: Counts) -> bool:
     """Whether the mark is no part of the word: the word without it is commoner in the corpus than with it."""
     if mark in ALWAYS:
         return True
-    a = split_token(half)[1].split("-")[-1].split("'")[-1].split("’")[-1].lower()
-    b = split_token(rest)[1].split("-")[0].split("'")[0].split("’")[0].lower()
+    b = first_part(rest)
     if not b or not b[:1].isalpha() and b[:1] not in SIGNS and b[:1] != LOST:
         return False
-    whole, compound = split_token(half)[1].lower() + "-" + split_token(rest)[1].lower(), a + "-" + b
-    joined = a + b
-    together = max([counts(joined), *(counts(r) for r in readings(joined))])
-    apart = max(counts(whole), counts(compound), *(counts(r) for r in readings(compound)), 0)
+    without, with_mark = ways(half, rest)
+    together, apart = max(map(counts, without)), max(map(counts, with_mark))
     if together or apart:
         return together >= apart
     return split_token(rest)[1][:1].islower()
@@ -492,72 +555,115 @@ def paragraphs(lines: list[Line]) -> list[str]:
     return out
 
 
-def _ranges(df: DataFrame, doc: str, page: str, text: str) -> DataFrame:
-    """Pages with the range they are read in; the first pages of a range also with the range before."""
+def _pages(df: DataFrame, doc: str, page: str, text: str) -> DataFrame:
+    """A row per page with a text. Repeated rows count once, before they meet."""
     rows = df.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{page}`").cast("int").alias("page"), F.col(f"`{text}`").alias("text")).where("doc is not null and page is not null and text is not null")
-    rows = rows.groupBy("doc", "page").agg(F.max("text").alias("text"))  # repeated rows count once, before they meet
-    own = F.floor(F.col("page") / RANGE_PAGES).cast("int")
-    before = F.pmod("page", F.lit(RANGE_PAGES)) < CONTEXT_PAGES
-    return rows.withColumn("range", F.explode(F.when(before, F.array(own, own - 1)).otherwise(F.array(own))))
+    return rows.groupBy("doc", "page").agg(F.max("text").alias("text"))
+
 
+def _words(batch: pa.RecordBatch) -> Counter:
+    counts: Counter = Counter()
+    for (t,) in rows_of(batch):
+        counts.update(vocabulary_of(t))
+    return counts
 
-def word_counts(df: DataFrame, text: str) -> Sketch:
-    """Frequencies of all words of the corpus."""
-    rows = df.select(F.col(f"`{text}`").alias("text")).where("text is not null")
+
+def word_sketch(rows: DataFrame) -> Sketch:
+    """Upper bounds of the frequencies of all words of the corpus."""
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
 
     def hashes_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        counts: Counter = Counter()
-        for (t,) in rows_of(batch):
-            counts.update(vocabulary_of(t))
-        if counts:
+        if counts := _words(batch):
             yield np.repeat(np.array([key_of(w) for w in counts], np.uint64), np.array(list(counts.values()), np.int64))
 
     return cm.merged(rows, hashes_of, min(cm.WIDE_BITS, cm.bits_for(chars // 8)), "uint32")
 
 
-def _documents(df: DataFrame, doc: str, page: str, text: str, schema: str, make) -> DataFrame:
-    shared = cm.share(df, word_counts(df, text))
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``key, n``: exact frequencies of all words of the corpus, by the words' 64-bit keys, added up within a task first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(opened(shared.value))
-        current, own = None, []
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
         for batch in batches:
-            for d, r, p, t in rows_of(batch):
-                if (d, r) != current:
-                    if own:
-                        yield from make(current, own, counts)
-                    current, own = (d, r), []
+            held.update(_words(batch))
+            if len(held) > 500_000:
+                yield _keyed(held)
+                held = Counter()
+        yield _keyed(held)
+
+    return rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _keyed(counts: Counter) -> pa.RecordBatch:
+    return arrow({"key": (_signed([key_of(w) for w in counts]), pa.int64()), "n": (list(counts.values()), pa.int64())})
+
+
+def _signed(keys) -> np.ndarray:
+    return np.array(list(keys), np.uint64).view(np.int64)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, list[str]]], dict[int, int]]]:
+    """Documents one after the other: key, pages in order, and the counts that came along. Rows are ``doc, page, text``
+    and, where there are counts, ``keys, ns`` on rows without page, which come first."""
+    current, own, exact = None, [], {}
+    for batch in batches:
+        for d, p, t, *more in rows_of(batch):
+            if d != current:
+                if own:
+                    yield current, own, exact
+                current, own, exact = d, [], {}
+            if p is None:
+                exact[more[0]] = more[1]
+            else:
                 own.append((p, t.split("\n")))
-        if own:
-            yield from make(current, own, counts)
+    if own:
+        yield current, own, exact
+
+
+def _documents(df: DataFrame, doc: str, page: str, text: str, schema: str, make) -> DataFrame:
+    """What ``make`` gives for each document, whole, with the exact counts of the words it asks for."""
+    pages = store(_pages(df, doc, page, text), "pages")
+    texts = pages.select("text")
+    shared = cm.share(df, word_sketch(texts))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking = Asking(opened(shared.value))
+        for d, own, _ in _whole(batches):
+            keys = _signed(asked(own, asking))
+            yield arrow({"doc": (np.full(len(keys), d, np.int64), pa.int64()), "key": (keys, pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        for d, own, exact in _whole(batches):
+            counts.exact = {k & 0xFFFFFFFFFFFFFFFF: n for k, n in exact.items()}
+            yield from make(d, own, counts)
 
-    pages = _ranges(df, doc, page, text).select("doc", "range", "page", "text")
-    return pages.repartition("doc", "range").sortWithinPartitions("doc", "range", "page").mapInArrow(run, schema)
+    wanted = pages.repartition("doc").sortWithinPartitions("doc", "page").mapInArrow(ask, "doc long, key long")
+    known = wanted.join(word_counts(texts), "key").select("doc", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text"), "key", "n")
+    rows = pages.select("doc", "page", "text", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("n")).unionByName(known)
+    return rows.repartition("doc").sortWithinPartitions("doc", F.col("page").asc_nulls_first()).mapInArrow(run, schema)
 
 
 def noise(df: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     """``doc, page, line_no, noise``: furniture, or else hyphen and char, of each line. Null keys and texts give no
     rows, and so do empty texts; rows repeated count once, of different texts of one page the greatest counts."""
 
-    def make(key: tuple[int, int], own: list, counts: Counts) -> Iterator[pa.RecordBatch]:
+    def make(key: int, own: list, counts: Counts) -> Iterator[pa.RecordBatch]:
         out = []
         for x in repair(own, counts):
-            if x.page // RANGE_PAGES == key[1]:
-                out += [(x.page, x.line, n) for n, on in (("furniture", x.furniture), ("hyphen", x.hyphen), ("char", x.char)) if on]
-        yield arrow({"doc": ([key[0]] * len(out), pa.int64()), "page": ([p for p, *_ in out], pa.int32()), "line_no": ([i for _, i, _ in out], pa.int32()), "noise": ([n for *_, n in out], pa.string())})
+            out += [(x.page, x.line, n) for n, on in (("furniture", x.furniture), ("hyphen", x.hyphen), ("char", x.char)) if on]
+        yield arrow({"doc": ([key] * len(out), pa.int64()), "page": ([p for p, *_ in out], pa.int32()), "line_no": ([i for _, i, _ in out], pa.int32()), "noise": ([n for *_, n in out], pa.string())})
 
     return _documents(df, doc, page, text, "doc long, page int, line_no int, noise string", make)
 
 
 def readable(df: DataFrame, doc: str, page: str, text: str) -> DataFrame:
-    """``doc, first_page, paragraph_no, paragraph`` in order, numbered within each range of pages."""
+    """``doc, first_page, paragraph_no, paragraph`` in order, numbered over all pages of the document, the first of which
+    is ``first_page``."""
 
-    def make(key: tuple[int, int], own: list, counts: Counts) -> Iterator[pa.RecordBatch]:
-        lines = repair(own, counts)
-        found = paragraphs([x for x in lines if x.page // RANGE_PAGES == key[1]])
-        first = min((x.page for x in lines if x.page // RANGE_PAGES == key[1]), default=0)
+    def make(key: int, own: list, counts: Counts) -> Iterator[pa.RecordBatch]:
+        found = paragraphs(repair(own, counts))
         n = len(found)
-        yield arrow({"doc": ([key[0]] * n, pa.int64()), "first_page": ([first] * n, pa.int32()), "paragraph_no": (list(range(1, n + 1)), pa.int32()), "paragraph": (found, pa.string())})
+        yield arrow({"doc": ([key] * n, pa.int64()), "first_page": ([own[0][0]] * n, pa.int32()), "paragraph_no": (list(range(1, n + 1)), pa.int32()), "paragraph": (found, pa.string())})
 
     return _documents(df, doc, page, text, "doc long, first_page int, paragraph_no int, paragraph string", make)

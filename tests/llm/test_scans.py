@@ -99,5 +99,36 @@ def test_tables(spark):
     assert scans.noise(df.limit(0), "package_id", "page_no", "markdown").count() == 0
 
 
+def test_documents_are_continuous_over_all_pages(spark):
+    words = [w for w in WORDS if "-" not in w]
+    page = lambda i: " ".join(words[i % 7 :] + words[: i % 7]) + "."
+    rows = [(1, i, page(i)) for i in range(200, 260)]
+    rows[55] = (1, 255, "the reviewer approved an inter-")
+    rows[56] = (1, 256, "face of the second shift")
+    rows += [(2, i, "Running Title Of Part\n\n" + page(i)) for i in range(250, 258)]
+    df = spark.createDataFrame(rows, "d long, p int, t string")
+    got = sorted((r.doc, r.paragraph_no, r.paragraph) for r in scans.readable(df, "d", "p", "t").collect())
+    assert [n for d, n, _ in got if d == 1] == list(range(1, 1 + len([1 for d, *_ in got if d == 1])))
+    assert any("an interface of the second shift" in t for d, _, t in got if d == 1) and not any(t.startswith("face") for _, _, t in got)
+    found = {(r.page, r.line_no) for r in scans.noise(df, "d", "p", "t").where("doc = 2 and noise = 'furniture'").collect()}
+    assert {(i, 1) for i in range(250, 258)} <= found
+
+
+def test_counts_are_exact_however_loose_the_sketch(spark, monkeypatch):
+    full = scans.word_sketch
+    rows = [(1, 1, "\n".join([" ".join(WORDS)] * 9 + ["thc second sh1ft and tlie rev!ewer was an inter-", "face once."])), (2, 1, "of the word0x and a role-\nbased permission")]
+    df = spark.createDataFrame(rows, "d long, p int, t string")
+    want = sorted(map(tuple, scans.noise(df, "d", "p", "t").collect()))
+
+    def loose(texts):
+        sketch = full(texts)
+        sketch.cells[:] = 1000  # as if every cell were full
+        return sketch
+
+    monkeypatch.setattr(scans, "word_sketch", loose)
+    assert sorted(map(tuple, scans.noise(df, "d", "p", "t").collect())) == want
+    assert (1, 10, 1) not in want and {(1, 1, 10, "char"), (1, 1, 10, "hyphen")} <= set(want)
+
+
 def test_long_page():
     assert len(scans.repair([(1, ["word " * 2000] * 50)], counts())) == 50
