@@ -247,14 +247,38 @@ def read_pages(batch: pa.RecordBatch) -> Iterator[Page]:
         yield Page(key, url, host, site, nodes, titles_of(nodes))
 
 
-def _judged(page: Page, counts: Sketch) -> list[int]:
+class Exact(dict):
+    """Counts of the merged trees by key, 0 for keys whose counts decide nothing."""
+
+    def estimate(self, keys: np.ndarray) -> np.ndarray:
+        return np.array([self.get(k, 0) for k in keys.tolist()], np.int64)
+
+
+def asked(page: Page, bounds: Sketch) -> set[int]:
+    """Keys whose exact counts can matter to ``_judged``: a sketch never underestimates, so a node below a limit there
+    is below it."""
+
+    def bound(key: int) -> int:
+        return int(bounds.estimate(np.array([key], np.uint64))[0])
+
+    found = {k for k in {key_of("all", n.canon) for n in page.nodes} if bound(k) >= PAGES_ALL}
+    if page.host:
+        here = {k for k in {key_of("node", page.host, n.canon) for n in page.nodes} if bound(k) >= PAGES_HOST}
+        found |= here | ({key_of("host", page.host)} if here else set())
+    for n in page.nodes:
+        if len(n.frames) == 1 and n.kind == "paragraph" and bound(alone := key_of("alone", n.frames[0])) >= PAGES_ALL:
+            found |= {alone, key_of("told", n.frames[0])}
+    return found
+
+
+def _judged(page: Page, counts: Exact) -> list[int]:
     """The seeds of a page, by the counts of the merged trees."""
 
     def of(keys: list[int]) -> np.ndarray:
-        return counts.estimate(np.array(keys, np.uint64)) if keys else np.empty(0, np.uint8)
+        return counts.estimate(np.array(keys, np.uint64)) if keys else np.empty(0, np.int64)
 
     everywhere = of([key_of("all", n.canon) for n in page.nodes])
-    here = of([key_of("node", page.host, n.canon) for n in page.nodes]) if page.host else np.zeros(len(page.nodes), np.uint8)
+    here = of([key_of("node", page.host, n.canon) for n in page.nodes]) if page.host else np.zeros(len(page.nodes), np.int64)
     size = int(of([key_of("host", page.host)])[0]) if page.host else 0
     often = [bool(a >= PAGES_ALL or (h >= PAGES_HOST and h >= SHARE_HOST * size)) for a, h in zip(everywhere, here, strict=True)]
     single = [len(n.frames) == 1 and n.kind == "paragraph" for n in page.nodes]
@@ -288,16 +312,38 @@ def _batched_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield np.concatenate(found)
 
 
+def with_counts(site_pages: DataFrame, shared) -> DataFrame:
+    """Pages with the exact counts they need, ``counts``: all keys of all pages are added up, within a task first, and
+    joined back to the pages that ask for them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hashes in _batched_keys(batch):
+                keys, n = np.unique(hashes, return_counts=True)
+                yield arrow({"key": (keys.view(np.int64), pa.int64()), "n": (n, pa.int64())})
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = opened(shared.value)
+        for batch in batches:
+            rows = [(page.key, k) for page in read_pages(batch) for k in asked(page, bounds)]
+            yield arrow({"package_id": ([p for p, _ in rows], pa.int64()), "key": (np.array([k for _, k in rows], np.uint64).view(np.int64), pa.int64())})
+
+    total = site_pages.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    wanted = site_pages.mapInArrow(ask, "package_id long, key long").join(total, "key")
+    by_page = wanted.groupBy("package_id").agg(F.collect_list(F.struct("key", "n")).alias("counts"))
+    return site_pages.join(by_page, "package_id", "left").select("package_id", "url", "blocks", "counts")
+
+
 def feature_weights(site_pages: DataFrame, shared) -> np.ndarray:
     """Importance of each content feature: the log odds of running text against navigation, by counts over all seeds.
     Features met fewer than three times weigh nothing. A table of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = opened(shared.value)
         seen = np.zeros((2, (1 << FEATURE_BITS) + 1), np.int64)  # the last cell counts the nodes
         cells_of = Cells()
         for batch in batches:
-            for page in read_pages(batch):
+            for page, own in zip(read_pages(batch.select(["package_id", "url", "blocks"])), batch.column("counts").to_pylist(), strict=True):
+                counts = Exact((c["key"] & 0xFFFFFFFFFFFFFFFF, c["n"]) for c in own or ())
                 for i, s in enumerate(_judged(page, counts)):
                     if s >= 0:
                         seen[s, cells_of.of(features(page.nodes, i, page.titles, page.url))] += 1
@@ -305,7 +351,7 @@ def feature_weights(site_pages: DataFrame, shared) -> np.ndarray:
         at = np.flatnonzero(seen.any(axis=0))
         yield arrow({"cell": (at, pa.int32()), "low": (seen[0, at], pa.int64()), "high": (seen[1, at], pa.int64())})
 
-    sums = site_pages.mapInArrow(count, "cell int, low long, high long").groupBy("cell").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    sums = with_counts(site_pages, shared).mapInArrow(count, "cell int, low long, high long").groupBy("cell").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
     rows = sums.where(f"low + high >= 3 or cell = {1 << FEATURE_BITS}").toArrow()  # at most as many rows as cells
     cell, low, high = (rows.column(c).to_numpy() for c in ("cell", "low", "high"))
     total = {int(c): (int(a), int(b)) for c, a, b in zip(cell, low, high, strict=True) if c == 1 << FEATURE_BITS}.get(1 << FEATURE_BITS, (0, 0))
@@ -317,7 +363,7 @@ def feature_weights(site_pages: DataFrame, shared) -> np.ndarray:
 
 def judge(site_pages: DataFrame) -> DataFrame:
     """``package_id, block_no, kind, txt, importance, main`` of each block. ``site_pages`` as ``pages`` gives them, stored: they
-    are read three times (counts of the trees, weights of the features, judgement), never gathered by host.
+    are read for the bounds and the counts of the trees, the weights of the features and the judgement, never gathered by host.
 
     Every block gets a row: a null text counts as empty, a null kind as a kind of its own, a page without a readable
     address belongs to no host and is judged by the tree of all hosts. Equal importance 0 is main. A page is a unit of

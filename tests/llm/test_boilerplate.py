@@ -44,6 +44,20 @@ def test_empty(spark):
     assert run(spark, []).count() == 0
 
 
+def test_counts_are_exact_however_loose_the_sketch(spark, monkeypatch):
+    rows, _ = site_pages()
+    want = sorted((r.package_id, r.block_no, round(r.importance, 4)) for r in run(spark, rows).collect())
+    full = boilerplate.cm.merged
+
+    def loose(*given):
+        sketch = full(*given)
+        sketch.cells[:] = sketch.most  # as if every cell were full
+        return sketch
+
+    monkeypatch.setattr(boilerplate.cm, "merged", loose)
+    assert sorted((r.package_id, r.block_no, round(r.importance, 4)) for r in run(spark, rows).collect()) == want
+
+
 def test_nodes():
     node = boilerplate.node_of(0, "paragraph", "Site [Go](/go) 12 times", "site")
     assert node.named and "§" in node.canon and 0 < node.linked < 1
