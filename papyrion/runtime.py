@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _written: list[tuple[object, object]] = []
+_stored: WeakKeyDictionary[DataFrame, tuple[object, object]] = WeakKeyDictionary()
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -82,7 +84,18 @@ def store(df: DataFrame, label: str) -> DataFrame:
     target = shared_path(spark, label)
     with released(spark):
         df.write.option("compression", "zstd").parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    back = spark.read.schema(df.schema).parquet(target)
+    _stored[back] = _written[-1]
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what ``store`` wrote for ``df``, which nothing reads any more; other DataFrames are left alone."""
+    place = _stored.pop(df, None)
+    if place is not None:
+        fs, path = place
+        fs.delete(path, True)
+        _written.remove(place)
 
 
 def store_counted(df: DataFrame, target: str) -> tuple[DataFrame, int]:
