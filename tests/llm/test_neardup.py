@@ -42,13 +42,23 @@ def test_against_brute_force(spark, seed, n, num, part):
     assert {tuple(r) for r in neardup.pairs(members, links).collect()} == brute(rows, n, num, 10)
 
 
+def test_same_answers_for_blocks_parts_and_fingerprints_of_any_size(spark, monkeypatch):
+    rows = corpus(4)
+    df = spark.createDataFrame([(k, t, "c", "c") for k, t in rows], SCHEMA)
+    for name, value in (("BLOCK_RUNS", 60), ("PART_RUNS", 8), ("FINGERPRINT_BITS", -20)):
+        monkeypatch.setattr(neardup, name, value)
+    members, links = neardup.similar(df, "package_id", "text", 3, 7, 10, part_size=3)
+    assert {tuple(r) for r in neardup.pairs(members, links).collect()} == brute(rows, 3, 7, 10)
+    assert {r.key for r in members.collect()} == {k for k, _ in rows if k is not None}
+
+
 def test_groups_and_copies(spark):
     text = " ".join(f"t{i}" for i in range(40))
     rows = [(i, text) for i in range(40)] + [(100, text + " more"), (200, "quite another text with words of its own")]
     df = spark.createDataFrame(rows, "id long, text string")
     members, links = neardup.similar(df, "id", "text", 3, 7, 10)
     got = {r.key: (r.group, r["class"], r.n_links) for r in neardup.groups(members, links).collect()}
-    assert len(got) == 41 and got[100] == (0, 100, 1) and {got[i] for i in range(40)} == {(0, 0, 1)}
+    assert len(got) == 42 and got[200] == (200, 200, 0) and got[100] == (0, 100, 1) and {got[i] for i in range(40)} == {(0, 0, 1)}
     few = {tuple(r) for r in neardup.pairs(members, links, limit=10).collect()}
     assert few == {(0, i) for i in range(1, 40)} | {(0, 100)}
     assert len(neardup.pairs(members, links, limit=10_000).collect()) == 41 * 40 // 2
