@@ -1,7 +1,7 @@
 """Parent-child rows to full hierarchies.
 
-Level-wise frontier joins from the roots give each node its path, depth and root; exploding the paths gives all
-ancestor-descendant pairs; what no root reaches lies on a loop or hangs below one.
+Frontier joins from the roots, each over twice as many levels as the one before, give each node its path, depth and root;
+exploding the paths gives all ancestor-descendant pairs; what no root reaches lies on a loop or hangs below one.
 """
 
 from __future__ import annotations
@@ -9,10 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrion.runtime import partitions_for, session_of, shared_path, store, store_counted
-
-#: A frontier of at most so many rows is followed down so many levels in one job.
-SMALL_FRONTIER, SMALL_LEVELS = 100_000, 8
+from papyrion.runtime import small, store, store_counted
 
 
 def clean_key(col: Column) -> Column:
@@ -39,72 +36,70 @@ def _order(col: Column) -> Column:
     return F.struct(F.coalesce(F.length(F.regexp_extract(col, r"^\d+$", 0)), F.lit(0)).alias("digits"), col.alias("key"))
 
 
-def _below(frontier: DataFrame, down: DataFrame, levels: int) -> DataFrame:
-    """The nodes up to ``levels`` below a frontier: one join a level, all in one job. Every row follows one chain of
-    children; its nodes are then listed, each once."""
-    rows = frontier.select("root", "depth", "path", F.col("node").alias("c0"))
-    for k in range(1, levels + 1):
-        kids = down.select(F.col("parent").alias(f"p{k}"), F.col("child").alias(f"c{k}"))
-        rows = rows.join(kids, F.col(f"c{k - 1}") == F.col(f"p{k}"), "inner" if k == 1 else "left").drop(f"p{k}")
-    if levels == 1:
-        return rows.select(F.col("c1").alias("node"), "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("c1")).alias("path"))
-    chain = F.array_compact(F.array(*[f"c{k}" for k in range(1, levels + 1)]))
-    each = rows.select("root", "depth", "path", chain.alias("chain")).select("root", "depth", "path", "chain", F.posexplode("chain").alias("i", "node"))
-    each = each.select("node", "root", (F.col("depth") + F.col("i") + 1).alias("depth"), F.concat("path", F.slice("chain", F.lit(1), F.col("i") + 1)).alias("path"))
-    return each.groupBy("node").agg(*[F.first(c).alias(c) for c in ("root", "depth", "path")])
-
-
-def hierarchy(df: DataFrame, node: str, parent: str, version: str | None = None) -> DataFrame:
-    """Full hierarchy of parent-child rows: ``node, parent, root, depth, path, looped``.
+def hierarchy(df: DataFrame, node: str, parent: str, version: str | None = None, paths: bool = True) -> DataFrame:
+    """Full hierarchy of parent-child rows: ``node, parent, root, depth, path, looped``; without ``paths``, ``path`` is
+    null throughout and nothing as long as a path is moved.
 
     ``path`` lists the ids from the root to the node. A node without parent, or whose parent is no node, is a root
     of depth 0. Where the chain of parents runs into a loop, ``root`` is the smallest id on that loop, ``depth`` -1
     and ``path`` null. Null or empty ids give no row, an empty table no rows; other columns are not looked at, and
     ids are compared as text, smaller numbers first.
+
+    Every node not yet reached points to an ancestor. One join a round looks the ancestor up: if the frontier of reached
+    nodes has it, the node is reached, with the path extended; else the node takes over the ancestor's own pointer. So
+    the frontier takes in twice as many levels each round, and a tree of any depth needs a logarithm of its levels.
+    A round that reaches nothing shows that the rest lies on loops or below them, since depths have no gaps.
     """
-    spark = session_of(df)
-    parts = partitions_for(spark)
     nodes = store(latest_rows(df, node, parent, version), "nodes")
     known = nodes.select(F.col("node").alias("known"))
-    edges = store(
-        nodes.join(known, F.col("parent") == F.col("known"), "left").select("node", F.when(F.col("known").isNotNull(), F.col("parent")).alias("parent")),
-        "edges",
-    )
-    down = edges.where("parent is not null").select(F.col("node").alias("child"), "parent").repartition(parts, "parent").sortWithinPartitions("parent").persist()
-    base = shared_path(spark, "levels")
-    roots = edges.where("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"))
-    frontier, width = store_counted(roots, f"{base}/level=0")
-    total, reached, depth = edges.count(), width, 0
-    while width and reached < total:
-        levels = SMALL_LEVELS if width <= SMALL_FRONTIER else 1
-        below, more = store_counted(_below(frontier, down, levels), f"{base}/level={depth + 1}")
-        depth += levels
-        reached += more
-        frontier = below.where(F.col("depth") == depth)
-        width = more if levels == 1 else frontier.count()
-    found = spark.read.schema(roots.schema).parquet(f"{base}/level=*")
-    if reached < total:
-        rest = edges.join(found.select("node"), "node", "left_anti")
-        loops = _loops(rest, total - reached).select("node", "root", F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"))
-        found = found.unionByName(loops)
-    down.unpersist()
-    return found.join(nodes, "node").select("node", "parent", "root", "depth", "path", (F.col("depth") < 0).alias("looped"))
-
-
-def _loops(rest: DataFrame, n: int) -> DataFrame:
-    """``node, root`` of nodes that no root reaches: each has a parent among them. Doubled jumps: after 2^k >= n
-    steps every node stands on its loop, and the smallest id of as many steps from there is the smallest on it."""
-    jump = store(rest.select("node", F.col("parent").alias("to"), F.col("node").alias("least")), "loop")
-    span = 1
-    while span < n:
+    no_path = F.lit(None).cast("array<string>")
+    own = F.array("node") if paths else no_path
+    start = nodes.join(known, F.col("parent") == F.col("known"), "left").select(
+        "node", F.when(F.col("known").isNotNull(), F.col("parent")).alias("to"), F.when(F.col("known").isNull(), F.col("node")).alias("root"),
+        F.when(F.col("known").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("far"), own.alias("path"), _order(F.col("node")).alias("least"),
+    )
+    measures = {"rest": F.count_if(F.col("root").isNull()), "reached": F.count_if(F.col("root").isNotNull()), "size": F.sum(F.when(F.col("root").isNull(), F.length("node") + F.length("to") + F.length("least.key")))}
+    rows, n = store_counted(start, "levels", **measures)
+    found = [rows.where("root is not null")]
+    while n["rest"] and n["reached"]:
+        active = rows.where("root is null")
+        there = F.coalesce(F.col("up.root"), F.col("up.to"))
+        ahead = active
+        for level in found:
+            ahead = ahead.unionByName(level)
+        ahead = ahead.select(F.struct("node", "to", "root", "far", "path", "least").alias("up"))
+        following = small(active, n["rest"], size=None if paths else n["size"]).join(ahead, F.col("to") == F.col("up.node")).where(there.isNotNull())
+        step = following.select(
+            "node", F.col("up.to").alias("to"), F.col("up.root").alias("root"), (F.col("far") + F.col("up.far")).alias("far"),
+            (F.concat("up.path", "path") if paths else no_path).alias("path"), F.least("least", "up.least").alias("least"),
+        )
+        rows, n = store_counted(step, "levels", **measures)
+        found.append(rows.where("root is not null"))
+    tree = found[0]
+    for level in found[1:]:
+        tree = tree.unionByName(level)
+    tree = tree.select("node", "root", F.col("far").cast("int").alias("depth"), "path")
+    if n["rest"]:
+        tree = tree.unionByName(_loops(rows.where("root is null").select("node", "to", "least"), n["rest"], n["size"]).select("node", "root", F.lit(-1).alias("depth"), no_path.alias("path")))
+    return tree.join(nodes, "node").select("node", "parent", "root", "depth", "path", (F.col("depth") < 0).alias("looped"))
+
+
+def _loops(jump: DataFrame, n: int, size: int) -> DataFrame:
+    """``node, root`` of nodes that no root reaches. ``jump``: each node's pointer ``to`` along its parents, with the
+    ``least`` id passed on the way. Pointers double until all of them stand on loops (their number no longer shrinks)
+    and a turn more finds no lesser id (the way passed then covers the loop)."""
+    ends = 0
+    while True:
         far = jump.select(F.col("node").alias("mid"), F.col("to").alias("to2"), F.col("least").alias("least2"))
-        jump = store(
-            jump.join(far, F.col("to") == F.col("mid")).select("node", F.col("to2").alias("to"), F.when(_order(F.col("least2")) < _order(F.col("least")), F.col("least2")).otherwise(F.col("least")).alias("least")),
-            "loop",
-        )
-        span *= 2
-    on = jump.select(F.col("node").alias("mid"), F.col("least").alias("root"))
-    return jump.join(on, F.col("to") == F.col("mid")).select("node", "root")
+        less = F.col("least2") < F.col("least")
+        step = small(jump, n, size=size).join(far, F.col("to") == F.col("mid"))
+        jump, seen = store_counted(step.select("node", F.col("to2").alias("to"), F.least("least", "least2").alias("least"), less.alias("less")), "loops", less=F.count_if("less"))
+        jump = jump.drop("less")
+        before, ends = ends, jump.select("to").distinct().count()
+        if not seen["less"] and ends == before:
+            break
+    on = jump.select(F.col("node").alias("mid"), F.col("least.key").alias("root"))
+    return small(jump.select("node", "to"), n, size=size).join(on, F.col("to") == F.col("mid")).select("node", "root")
 
 
 def descendants(tree: DataFrame) -> DataFrame:

@@ -48,12 +48,12 @@ def p3_schema(spark: SparkSession, folder: str) -> DataFrame:
     return flatten.merged_schema(table(spark, folder, "canonical_json"), "payload")
 
 
-def _tree(spark: SparkSession, folder: str) -> DataFrame:
-    return hierarchy.hierarchy(table(spark, folder, "page_tree"), "page_id", "parent_id", "version_no")
+def _tree(spark: SparkSession, folder: str, paths: bool = True) -> DataFrame:
+    return hierarchy.hierarchy(table(spark, folder, "page_tree"), "page_id", "parent_id", "version_no", paths)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _tree(spark, folder).select(F.col("node").alias("page_id"), F.col("root").alias("root_id"), "depth")
+    return _tree(spark, folder, paths=False).select(F.col("node").alias("page_id"), F.col("root").alias("root_id"), "depth")
 
 
 def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,7 +66,7 @@ def p4_descendants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_loops(spark: SparkSession, folder: str) -> DataFrame:
-    return hierarchy.loops(_tree(spark, folder)).select(F.col("root").alias("root_id"), "nodes")
+    return hierarchy.loops(_tree(spark, folder, paths=False)).select(F.col("root").alias("root_id"), "nodes")
 
 
 CLIMB = r"""

@@ -12,11 +12,12 @@ import uuid
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only when a count has shown it to hold at most so many rows.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only when a count has shown it to hold at most so many rows, and characters.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 16_000_000
 
 _written: list[tuple[object, object]] = []
 _stored: WeakKeyDictionary[DataFrame, tuple[object, object]] = WeakKeyDictionary()
@@ -98,17 +99,23 @@ def discard(df: DataFrame) -> None:
         _written.remove(place)
 
 
-def store_counted(df: DataFrame, target: str) -> tuple[DataFrame, int]:
-    """Writes ``df`` to ``target``, counting its rows on the way: the reader and the count, in one job."""
+def store_counted(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``store``, with aggregates taken on the way, in one job: the reader, and the values by name (0 for null)."""
     seen = Observation()
-    with released(session_of(df)):
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(target)
-    return session_of(df).read.schema(df.schema).parquet(target), seen.get["n"]
+    back = store(df.observe(seen, *[F.coalesce(c.cast("long"), F.lit(0)).alias(n) for n, c in measures.items()]), label)
+    return back, seen.get
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if ``rows``, its counted size, allows it; as it is otherwise."""
-    return F.broadcast(df) if rows <= limit else df
+def fixed_width(df: DataFrame) -> bool:
+    """Whether no column can hold a value of any length."""
+    return all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) for f in df.schema.fields)
+
+
+def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS, size: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its counted ``rows`` allow it and, where a column can hold values of any length,
+    their measured ``size`` in characters, too; as it is otherwise."""
+    bounded = fixed_width(df) if size is None else size <= BROADCAST_CHARS
+    return F.broadcast(df) if rows <= limit and bounded else df
 
 
 def partitions_for(spark: SparkSession) -> int:

@@ -46,6 +46,21 @@ def test_long_chain_and_descendants(spark):
     assert {r.node: r.n_descendants for r in hierarchy.with_counts(tree).collect()}["1"] == n - 1
 
 
+def test_rounds_grow_with_the_logarithm_of_the_levels(spark, monkeypatch):
+    rounds = []
+    full = hierarchy.store_counted
+    monkeypatch.setattr(hierarchy, "store_counted", lambda *a, **k: rounds.append(a[1]) or full(*a, **k))
+    rows = [(str(i), str(i - 1) if i > 1 else None, 1, None, None, None) for i in range(1, 121)] + [("900", "901", 1, None, None, None), ("901", "900", 1, None, None, None)]
+    assert max(r.depth for r in run(spark, rows).collect()) == 119
+    assert rounds.count("levels") <= 9 and rounds.count("loops") <= 4
+
+
+def test_without_paths(spark):
+    df = spark.createDataFrame([("1", None), ("2", "1"), ("3", "2"), ("8", "9"), ("9", "8")], "id string, up string")
+    tree = hierarchy.hierarchy(df, "id", "up", paths=False).collect()
+    assert {(r.node, r.root, r.depth, r.path) for r in tree} == {("1", "1", 0, None), ("2", "1", 1, None), ("3", "1", 2, None), ("8", "8", -1, None), ("9", "8", -1, None)}
+
+
 def test_spellings_versions_and_nulls(spark):
     rows = [("1", None, 1), ("2", " 1", 1), ("3", "1.0", 1), ("4", "1 ", 2), ("4", "77", 1), ("5", "0", 1), ("6", "", 1), (None, "1", 1), ("7", "7", 1), ("2", " 1", 1)]
     tree = run(spark, [(a, b, c, None, None, None) for a, b, c in rows])
