@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from papyrion.operators import flatten, hierarchy
 from papyrion.runtime import table
 
-PARENT = {"block": "block", "asset": None, "occurrence": "asset"}
-
 
 def _records(spark: SparkSession, folder: str, wanted: tuple[str, ...], with_fields: bool) -> DataFrame:
     return flatten.explode_records(table(spark, folder, "canonical_json"), "package_id", "payload", "ingested_at", wanted=wanted, with_fields=with_fields)
@@ -30,7 +28,7 @@ def p3_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_blocks(spark: SparkSession, folder: str) -> DataFrame:
     rows = _records(spark, folder, ("block",), with_fields=True)
-    columns = {"kind": "type", "heading_level": "level", "txt": "text", "inlines": "inlines", "src": "src", "language": "language"}
+    columns = {"kind": "type", "heading_level": "level", "txt": "text", "src": "src", "language": "language"}
     return rows.select(F.col("key").alias("package_id"), F.col("no").alias("block_no"), F.coalesce(F.col("up")["block"], F.lit(0)).alias("parent_block"), "parent_entity", "parent_no", "ordinal", *[F.col("fields")[f].alias(c) for c, f in columns.items()])
 
 
@@ -44,6 +42,26 @@ def p3_occurrences(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("key").alias("package_id"), F.col("no").alias("occurrence_no"), F.col("up")["asset"].alias("asset_no"), F.col("fields")["role"].alias("role"), *[F.col("fields")[f"display.{f}"].cast("int").alias(f) for f in ("width_px", "height_px")])
 
 
+def p3_items(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _records(spark, folder, ("item",), with_fields=False)
+    return rows.select(F.col("key").alias("package_id"), F.col("no").alias("item_no"), F.col("parent_no").alias("block_no"), "ordinal")
+
+
+def p3_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _records(spark, folder, ("row",), with_fields=False)
+    return rows.select(F.col("key").alias("package_id"), F.col("no").alias("row_no"), F.col("parent_no").alias("block_no"), "ordinal")
+
+
+def p3_cells(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _records(spark, folder, ("cell",), with_fields=True)
+    return rows.select(F.col("key").alias("package_id"), F.col("no").alias("cell_no"), F.col("parent_no").alias("row_no"), "ordinal", *[F.col("fields")[f].cast("int").alias(f) for f in ("rowspan", "colspan")], F.col("fields")["header"].alias("header"))
+
+
+def p3_inlines(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _records(spark, folder, ("inlines",), with_fields=True)
+    return rows.select(F.col("key").alias("package_id"), F.col("no").alias("inline_no"), F.col("parent_no").alias("block_no"), "ordinal", F.col("fields")["type"].alias("kind"), F.col("fields")["text"].alias("txt"))
+
+
 def p3_schema(spark: SparkSession, folder: str) -> DataFrame:
     return flatten.merged_schema(table(spark, folder, "canonical_json"), "payload")
 
@@ -88,7 +106,7 @@ tree AS (
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_documents, p3_blocks, p3_assets, p3_occurrences, p3_schema, p4_found, p4_paths, p4_descendants, p4_loops)
+    f.__name__: f for f in (p3_found, p3_documents, p3_blocks, p3_assets, p3_occurrences, p3_items, p3_rows, p3_cells, p3_inlines, p3_schema, p4_found, p4_paths, p4_descendants, p4_loops)
 }
 
 ORACLE = {

@@ -57,6 +57,48 @@ def test_empty_table_and_deep_nesting(spark):
     assert len(got) == 301 and got[-1] == (1, "block", 301, 300)
 
 
+def test_nesting_of_any_depth_is_read(spark):
+    text = '{"type": "rule"}'
+    for _ in range(5000):
+        text = '{"type": "blockquote", "blocks": [' + text + "]}"
+    got = found(spark, [(1, '{"blocks": [' + text + "]}")])
+    assert len(got) == 5001 and got[-1] == (1, "block", 5001, 5000)
+
+
+def test_many_encodings_envelopes_and_wide_objects(spark):
+    text = json.dumps({"blocks": [{"type": "rule", "metadata": {f"k{i}": {"a": {"b": {"c": {"d": {"e": i}}}}} for i in range(500)}}]})
+    for _ in range(9):
+        text = json.dumps({"inner": {"document": json.loads(text)}})
+    for _ in range(10):
+        text = json.dumps(text)
+    rows = flatten.explode_records(table(spark, [(1, text)]), "package_id", "payload", "ingested_at", wanted=("block",)).collect()
+    assert len(rows) == 1 and rows[0]["fields"]["metadata.k499.a.b.c.d.e"] == "499"
+
+
+def test_layout_comes_from_the_schema(spark):
+    doc = {"blocks": [{"type": "paragraph", "inlines": [{"text": "a", "marks": [{"type": "strong"}]}, {"text": "b"}]}], "links": [{"to": "x"}]}
+    rows = flatten.explode_records(table(spark, [(1, json.dumps(doc))]), "package_id", "payload", "ingested_at").collect()
+    got = sorted((r.entity, r.no, r.parent_entity, r.parent_no, r.ordinal) for r in rows)
+    assert got == [("block", 1, "document", 1, 1), ("document", 1, "", 0, 0), ("inlines", 1, "block", 1, 1), ("inlines", 2, "block", 1, 2), ("links", 1, "document", 1, 1), ("marks", 1, "inlines", 1, 1)]
+
+
+def test_parse_deep_is_json():
+    for text in ('{"a": [1, -2.5e3, "x\\u00e9\\n", true, null, {}, []], "b": {"c": "d"}}', "[]", '"s"', " 3 ", "[[1],[2,[3]]]"):
+        assert flatten.parse_deep(text) == json.loads(text)
+    for text in ("", "{", "[1,]", '{"a" 1}', '{"a":1,}', "[1 2]", "1 2", '{"a":}', "[}", '{1:2}', "]"):
+        try:
+            flatten.parse_deep(text)
+            raise AssertionError(text)
+        except ValueError:
+            pass
+
+
+def test_every_parent_is_a_row(spark):
+    rows = flatten.explode_records(table(spark, [(k, json.dumps(DOC)) for k in range(3)]), "package_id", "payload", "ingested_at")
+    own = rows.select("key", F.col("entity").alias("parent_entity"), F.col("no").alias("parent_no"))
+    assert rows.where("entity <> 'document'").join(own, ["key", "parent_entity", "parent_no"], "left_anti").count() == 0
+
+
 def test_merged_schema_folds_recursion(spark):
     kinds = {(r.entity, r.field): r.kinds for r in flatten.merged_schema(table(spark, [(1, json.dumps(DOC)), (2, json.dumps({"blocks": [], "assets": None}))]), "payload").collect()}
     assert kinds["document", "assets"] == "null|object"
