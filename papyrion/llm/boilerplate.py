@@ -1,61 +1,45 @@
 """Main content of web pages, by a site style tree.
 
-Pages of one host are merged: a node of the tree is a block with its presentation (kind, links, shape) and its content
-with site names, numbers and link targets masked. A node's content importance falls as it recurs on many of the host's
-pages, or, on hosts with few pages, on many pages of all hosts; its presentation importance falls where the shape only
-navigates. Nodes that are surely unimportant, and nodes that surely carry running text, then weigh the content features
-of all others (how unevenly a feature spreads over the two, its entropy, is its importance), and a branch is removed
-where the importance of its features is low.
+Pages of one host are merged into a tree, and all hosts into one above them. A branch of a page is a block; its
+presentation says how it is built: its kind, whether it consists of entries (menus, trails, lists of links) or of
+sentences, and links, which are presentation, since their text belongs to the page they lead to. Its leaves are its
+entries or sentences, without the site's name, numbers (but in headings, tables and code) and, in sentences, other names.
+
+The content importance of a leaf is one less the entropy of its spread over the pages: 0 if every page has it, 1 if one
+has. The presentation importance of a sentence is the entropy of the blocks it stands in, as their effective number by
+page: near 1 for a sentence met within ever other text, near 0 for one that always stands in the same block. A leaf keeps
+its importance by either; a block has the mean importance of its leaves, and blocks of low importance are removed.
 """
 
 from __future__ import annotations
 
-import math
 import re
-import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm import sketch as cm
-from papyrion.llm.sketch import Sketch, opened
 from papyrion.llm.text import WORD, arrow, rows_of
-from papyrion.runtime import partitions_for, session_of
+from papyrion.runtime import partitions_for, session_of, store
 
 LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)[^)]*\)")
 MARKER = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+", re.M)
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]")
 SENTENCE = re.compile(r"[.!?。！？…](?:\s|$)|[。！？]")
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+COPYRIGHT = re.compile(r"(?:©|\bCopyright)\s*(?:©\s*)?(?:\d{4}\s+)?([^\W\d_]\w+)")
 #: Marks that part the entries of menus and trails.
 PARTS = re.compile(r"\s*(?:[>»›/|·•→]|::)\s*")
-#: A reference that names one thing: letters and a number, or a version.
-CODE = re.compile(r"\b[^\W\d_]{2,}-\d+\b|\bv\d+(?:\.\d+)+\b")
-COPYRIGHT = re.compile(r"(?:©|\bCopyright)\s*(?:©\s*)?(?:\d{4}\s+)?([^\W\d_]\w+)")
-#: Cells of the table of content features, a power of two.
-FEATURE_BITS = 20
-#: A node that recurs on at least so many pages of all hosts, or on this share of its host's pages, is repeated.
-PAGES_ALL, PAGES_HOST, SHARE_HOST = 4, 3, 0.3
-
-
-@dataclass
-class Node:
-    block_no: int
-    kind: str
-    text: str
-    plain: str
-    canon: str
-    linked: float
-    lines: int
-    sentences: int
-    named: bool
-    frames: tuple[str, ...]
-    coded: bool
+#: Kinds whose text is taken whole, and kinds that menus, notices and page ends do not use.
+WHOLE, ALWAYS_MAIN = ("table", "code_block"), ("blockquote",)
+#: What a link leaves behind.
+MASK = "[]"
+#: Blocks of less importance are no main content.
+THRESHOLD = 0.7
+#: A sentence is a template if it keeps so many words, and this share of all, when names and numbers are masked.
+LITERALS, LITERAL_SHARE = 2, 0.5
 
 
 def site_of(url: str | None) -> tuple[str, str]:
@@ -77,143 +61,44 @@ def site_in(texts: list[tuple[str | None, str | None]]) -> str:
     return ""
 
 
-def node_of(block_no: int, kind: str | None, text: str | None, site: str) -> Node:
-    text = text or ""
-    plain = LINK.sub(lambda m: m.group(1), text)
-    bare = MARKER.sub("", LINK.sub("", text))
-    letters = sum(map(str.isalnum, MARKER.sub("", plain)))
-    rest = sum(map(str.isalnum, bare))
-    named = bool(site) and re.search(rf"(?<![^\W_]){re.escape(site)}(?![^\W_])", text, re.I) is not None
-    masked = LINK.sub(lambda m: f"[{m.group(1)}]", MARKER.sub("- ", text))
-    words = ["§" if site and t.lower() == site else "0" if any(c.isdigit() for c in t) else t.lower() for t in TOKEN.findall(masked)]
-    canon = f"{kind or ''}|" + " ".join(words)
-    lines = [x for x in text.split("\n") if x.strip()]
-    frames = tuple(f for f in (frame_of(x, site) for x in SENTENCE_END.split(masked)) if f)
-    return Node(block_no, kind or "", text, plain, canon, 1 - rest / letters if letters else (1.0 if LINK.search(text) else 0.0), len(lines), len(SENTENCE.findall(plain)), named, frames, CODE.search(plain) is not None)
-
-
-def frame_of(sentence: str, site: str) -> str:
-    """A sentence without what varies: site, numbers, and words with a capital that don't begin it."""
+def masked(text: str, site: str, names: bool, numbers: bool = True) -> list[str]:
+    """Words and marks in lower case: ``§`` for the site's name, with ``numbers`` ``0`` for what has a digit, and with
+    ``names`` ``~`` for a word with a capital that doesn't begin the text."""
     out = []
-    for i, t in enumerate(TOKEN.findall(sentence)):
+    for i, t in enumerate(TOKEN.findall(text)):
         low = t.lower()
-        out.append("§" if site and low == site else "0" if any(c.isdigit() for c in t) else "~" if i and t != low else low)
-    return " ".join(out)
-
-
-def running(n: Node) -> bool:
-    """Whether a block is long enough, and links little enough, to be running text."""
-    return n.kind in ("paragraph", "list", "blockquote") and n.sentences >= 2 and len(n.plain) >= 100 and not n.named and n.linked < 0.4
-
-
-def slug(text: str) -> str:
-    """A title as it stands in an address: letters without accents, digits, hyphens."""
-    bare = "".join(c for c in unicodedata.normalize("NFKD", text.lower().replace("ß", "ss")) if not unicodedata.combining(c))
-    return re.sub(r"[^a-z0-9]+", "-", bare).strip("-")
+        out.append("§" if site and low == site else "0" if numbers and any(map(str.isdigit, t)) else "~" if names and i and t != low else low)
+    return out
 
 
-def heads_page(n: Node, url: str | None, titles: set[str]) -> bool:
-    """Whether a heading is the page's title: its address or the end of its trail says so."""
-    if n.kind != "heading" or not n.plain.strip():
-        return False
-    own = slug(n.plain)
-    return len(own) > 3 and any(part == own or (len(part) >= 24 and own.startswith(part)) for part in path_of(url))
+def leaves(kind: str | None, text: str | None, site: str) -> list[tuple[str, bool]]:
+    """The leaves of a block, and which of them are sentences made of a template; ``MASK`` for a link alone."""
+    if kind in WHOLE:
+        return [(" ".join([kind or "", *masked(text or "", site, False, False)]), False)]
+    out: list[tuple[str, bool]] = []
+    for line in LINK.sub(f" {MASK} ", MARKER.sub("", text or "")).split("\n"):
+        if not line.strip():
+            continue
+        prose = SENTENCE.search(line) is not None
+        parts = [p for p in (SENTENCE_END if prose else PARTS).split(line) if p.strip()]
+        for part in parts:
+            if part.strip() == MASK:
+                out.append((MASK, False))
+                continue
+            if kind != "heading" and (prose or len(parts) == 1):
+                words = masked(part, site, True)
+                literal = sum(map(str.isalpha, words))
+                if literal >= LITERALS and literal >= LITERAL_SHARE * sum(w.isalnum() or w in "~§" for w in words):
+                    out.append((" ".join(words), True))
+                    continue
+            # a heading's number tells it from others
+            out.append((" ".join(masked(part, site, False, kind != "heading")), False))
+    return out
 
 
 def key_of(*parts: str) -> int:
-    return xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
-
-
-def keys_of_page(host: str, nodes: list[Node]) -> list[int]:
-    """What the page adds to the merged trees: each node once, for its host and for all hosts, and the page itself."""
-    keys = [key_of("host", host)] if host else []
-    told = [f for n in nodes if running(n) for f in n.frames]
-    alone = {n.frames[0] for n in nodes if len(n.frames) == 1 and n.kind == "paragraph"}
-    keys += [key_of("told", f) for f in set(told)] + [key_of("alone", f) for f in alone]
-    for canon in {n.canon for n in nodes}:
-        keys.append(key_of("all", canon))
-        if host:
-            keys.append(key_of("node", host, canon))
-    return keys
-
-
-def trail(node: Node, titles: set[str], url: str | None) -> bool:
-    """Whether a block is a trail of links to the page: parts between marks, the last of them its title."""
-    parts = PARTS.split(node.plain.strip())
-    if node.lines != 1 or len(parts) < 2 or not parts[-1].strip():
-        return False
-    if parts[-1].strip().lower() in titles:
-        return True
-    own = [slug(x) for x in (parts[-1], "-".join(parts[1:]))]
-    return any(len(x) > 3 and (part == x or (len(part) >= 24 and x.startswith(part))) for x in own for part in path_of(url))
-
-
-def path_of(url: str | None) -> list[str]:
-    return (url or "").lower().split("?")[0].split("/")[3:]
-
-
-def features(nodes: list[Node], i: int, titles: set[str], url: str | None) -> set[str]:
-    """Content and presentation features of a node in its page."""
-    n = nodes[i]
-    words = n.canon.partition("|")[2].split(" ")
-    words = [w for w in words if w]
-    found = {f"w {w}" for w in words} | {f"b {a} {b}" for a, b in zip(["^", *words], [*words, "$"], strict=True)}
-    size = min(6, int(math.log2(1 + len(words))))
-    place = 0 if i < 2 else 1 if i < 5 else 3 if i >= len(nodes) - 3 else 2
-    link = 0 if n.linked == 0 else 1 if n.linked < 0.5 else 2 if n.linked < 0.95 else 3
-    after = nodes[i + 1] if i + 1 < len(nodes) else None
-    follows = "end" if after is None else f"{after.kind} {3 if after.linked >= 0.95 else 0}"
-    found |= {f"shape {n.kind} {link} {size}", f"place {n.kind} {place}", f"sentences {n.kind} {min(3, n.sentences)}", f"named {n.named}"}
-    if n.kind == "heading":
-        found.add(f"follows {follows}")
-    found.add(f"coded {n.coded} {n.named}")
-    if trail(n, titles, url):
-        found.add("trail")
-    if n.text.rstrip().endswith("…"):
-        found.add("cut")
-    return found
-
-
-def titles_of(nodes: list[Node]) -> set[str]:
-    return {n.plain.strip().lower() for n in nodes if n.kind == "heading"}
-
-
-def told(n: Node, titles: set[str], url: str | None, site: str) -> bool:
-    """Whether a block says something about a thing of its own: a sentence with a reference, not about the site."""
-    return bool(site) and n.coded and not n.named and n.sentences >= 1 and n.kind in ("paragraph", "list", "blockquote") and not navigates(n, titles, url)
-
-
-def navigates(n: Node, titles: set[str], url: str | None) -> bool:
-    """Presentation that only navigates: nothing but links, a trail to the page, a linked text cut short."""
-    cut = n.linked > 0 and n.text.lstrip().startswith("[") and n.text.rstrip().endswith("…")
-    return n.kind in ("paragraph", "list") and (n.linked >= 0.95 or cut or trail(n, titles, url))
-
-
-def seeds(nodes: list[Node], often: list[bool], bare: list[bool], titles: set[str], url: str | None, site: str) -> list[int]:
-    """For each node of a page 0 (surely unimportant), 1 (surely running text) or -1 (to be weighed). ``often``: the
-    node recurs; ``bare``: its sentence recurs by itself and never within running text."""
-    out = []
-    for i, n in enumerate(nodes):
-        edge = i < 2 or i >= len(nodes) - 2
-        if heads_page(n, url, titles):
-            out.append(1)
-        elif navigates(n, titles, url):
-            out.append(0)
-        elif told(n, titles, url, site):
-            out.append(1)
-        elif bare[i] or (often[i] and n.kind in ("paragraph", "list", "heading") and (n.named or edge or n.linked >= 0.3)):
-            out.append(0)
-        elif running(n) and not often[i]:
-            out.append(1)
-        elif n.kind in ("table", "code_block") and not n.named and not n.linked:
-            out.append(1)
-        else:
-            out.append(-1)
-    for i, n in enumerate(nodes):  # a heading goes with what it heads
-        if n.kind == "heading" and out[i] == -1 and i + 1 < len(nodes) and nodes[i + 1].kind != "heading":
-            after = out[i + 1]
-            out[i] = after if after == 1 or (after == 0 and often[i]) else -1
-    return out
+    """A signed 64-bit key."""
+    return xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 PAGE = "package_id long, url string, blocks array<struct<block_no:int,kind:string,txt:string>>"
@@ -229,165 +114,80 @@ def pages(df: DataFrame, page: str, block: str, url: str, kind: str, text: str,
     return one.groupBy("package_id").agg(F.max("row.url").alias("url"), F.array_sort(F.collect_list(F.struct("block_no", F.col("row.kind").alias("kind"), F.col("row.txt").alias("txt")))).alias("blocks"))
 
 
-@dataclass
-class Page:
-    key: int
-    url: str | None
-    host: str
-    site: str
-    nodes: list[Node]
-    titles: set[str]
-
-
-def read_pages(batch: pa.RecordBatch) -> Iterator[Page]:
-    for key, url, blocks in rows_of(batch):
-        host, site = site_of(url)
-        site = site or site_in([(b["kind"], b["txt"]) for b in blocks])
-        nodes = [node_of(b["block_no"], b["kind"], b["txt"], site) for b in blocks]
-        yield Page(key, url, host, site, nodes, titles_of(nodes))
-
-
-class Exact(dict):
-    """Counts of the merged trees by key, 0 for keys whose counts decide nothing."""
-
-    def estimate(self, keys: np.ndarray) -> np.ndarray:
-        return np.array([self.get(k, 0) for k in keys.tolist()], np.int64)
-
-
-def asked(page: Page, bounds: Sketch) -> set[int]:
-    """Keys whose exact counts can matter to ``_judged``: a sketch never underestimates, so a node below a limit there
-    is below it."""
-
-    def bound(key: int) -> int:
-        return int(bounds.estimate(np.array([key], np.uint64))[0])
-
-    found = {k for k in {key_of("all", n.canon) for n in page.nodes} if bound(k) >= PAGES_ALL}
-    if page.host:
-        here = {k for k in {key_of("node", page.host, n.canon) for n in page.nodes} if bound(k) >= PAGES_HOST}
-        found |= here | ({key_of("host", page.host)} if here else set())
-    for n in page.nodes:
-        if len(n.frames) == 1 and n.kind == "paragraph" and bound(alone := key_of("alone", n.frames[0])) >= PAGES_ALL:
-            found |= {alone, key_of("told", n.frames[0])}
-    return found
-
+LEAVES = "package_id long, block_no int, host long, leaf long, context long, fixed double"
 
-def _judged(page: Page, counts: Exact) -> list[int]:
-    """The seeds of a page, by the counts of the merged trees."""
 
-    def of(keys: list[int]) -> np.ndarray:
-        return counts.estimate(np.array(keys, np.uint64)) if keys else np.empty(0, np.int64)
+def tree_leaves(site_pages: DataFrame) -> DataFrame:
+    """The leaves of all blocks, see ``LEAVES``: ``leaf`` the key of its content, ``context`` that of the block if it is
+    a template sentence; ``host`` null for a page without readable address. ``fixed`` is the importance of what needs no
+    count: links have no content of their own, nor has an entry that repeats a heading of its page; empty blocks have
+    none; some kinds are main content as such."""
 
-    everywhere = of([key_of("all", n.canon) for n in page.nodes])
-    here = of([key_of("node", page.host, n.canon) for n in page.nodes]) if page.host else np.zeros(len(page.nodes), np.int64)
-    size = int(of([key_of("host", page.host)])[0]) if page.host else 0
-    often = [bool(a >= PAGES_ALL or (h >= PAGES_HOST and h >= SHARE_HOST * size)) for a, h in zip(everywhere, here, strict=True)]
-    single = [len(n.frames) == 1 and n.kind == "paragraph" for n in page.nodes]
-    alone = of([key_of("alone", n.frames[0] if s else "") for n, s in zip(page.nodes, single, strict=True)])
-    within = of([key_of("told", n.frames[0] if s else "") for n, s in zip(page.nodes, single, strict=True)])
-    bare = [bool(s and a >= PAGES_ALL and not w) for s, a, w in zip(single, alone, within, strict=True)]
-    return seeds(page.nodes, often, bare, page.titles, page.url, page.site)
-
-
-class Cells(dict):
-    """The cell of each feature in the table of weights, remembered."""
-
-    def __missing__(self, name: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        cell = self[name] = xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass")) & ((1 << FEATURE_BITS) - 1)
-        return cell
-
-    def of(self, names: set[str]) -> list[int]:
-        return sorted({self[n] for n in names})
-
-
-def _tree_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for page in read_pages(batch):
-        yield np.array(keys_of_page(page.host, page.nodes), np.uint64)
-
-
-def _batched_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    found = list(_tree_keys(batch))
-    if found:
-        yield np.concatenate(found)
-
-
-def with_counts(site_pages: DataFrame, shared) -> DataFrame:
-    """Pages with the exact counts they need, ``counts``: all keys of all pages are added up, within a task first, and
-    joined back to the pages that ask for them."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for hashes in _batched_keys(batch):
-                keys, n = np.unique(hashes, return_counts=True)
-                yield arrow({"key": (keys.view(np.int64), pa.int64()), "n": (n, pa.int64())})
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = opened(shared.value)
-        for batch in batches:
-            rows = [(page.key, k) for page in read_pages(batch) for k in asked(page, bounds)]
-            yield arrow({"package_id": ([p for p, _ in rows], pa.int64()), "key": (np.array([k for _, k in rows], np.uint64).view(np.int64), pa.int64())})
-
-    total = site_pages.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    wanted = site_pages.mapInArrow(ask, "package_id long, key long").join(total, "key")
-    by_page = wanted.groupBy("package_id").agg(F.collect_list(F.struct("key", "n")).alias("counts"))
-    return site_pages.join(by_page, "package_id", "left").select("package_id", "url", "blocks", "counts")
-
-
-def feature_weights(site_pages: DataFrame, shared) -> np.ndarray:
-    """Importance of each content feature: the log odds of running text against navigation, by counts over all seeds.
-    Features met fewer than three times weigh nothing. A table of fixed size."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, (1 << FEATURE_BITS) + 1), np.int64)  # the last cell counts the nodes
-        cells_of = Cells()
-        for batch in batches:
-            for page, own in zip(read_pages(batch.select(["package_id", "url", "blocks"])), batch.column("counts").to_pylist(), strict=True):
-                counts = Exact((c["key"] & 0xFFFFFFFFFFFFFFFF, c["n"]) for c in own or ())
-                for i, s in enumerate(_judged(page, counts)):
-                    if s >= 0:
-                        seen[s, cells_of.of(features(page.nodes, i, page.titles, page.url))] += 1
-                        seen[s, -1] += 1
-        at = np.flatnonzero(seen.any(axis=0))
-        yield arrow({"cell": (at, pa.int32()), "low": (seen[0, at], pa.int64()), "high": (seen[1, at], pa.int64())})
-
-    sums = with_counts(site_pages, shared).mapInArrow(count, "cell int, low long, high long").groupBy("cell").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
-    rows = sums.where(f"low + high >= 3 or cell = {1 << FEATURE_BITS}").toArrow()  # at most as many rows as cells
-    cell, low, high = (rows.column(c).to_numpy() for c in ("cell", "low", "high"))
-    total = {int(c): (int(a), int(b)) for c, a, b in zip(cell, low, high, strict=True) if c == 1 << FEATURE_BITS}.get(1 << FEATURE_BITS, (0, 0))
-    weights = np.zeros(1 << FEATURE_BITS, np.float32)
-    own = cell < 1 << FEATURE_BITS
-    weights[cell[own]] = np.clip(np.log((high[own] + 0.5) / (total[1] + 1)) - np.log((low[own] + 0.5) / (total[0] + 1)), -4, 4)
-    return weights
-
-
-def judge(site_pages: DataFrame) -> DataFrame:
-    """``package_id, block_no, kind, txt, importance, main`` of each block. ``site_pages`` as ``pages`` gives them, stored: they
-    are read for the bounds and the counts of the trees, the weights of the features and the judgement, never gathered by host.
-
-    Every block gets a row: a null text counts as empty, a null kind as a kind of its own, a page without a readable
-    address belongs to no host and is judged by the tree of all hosts. Equal importance 0 is main. A page is a unit of
-    work, with all its blocks in one row; an empty table gives no rows.
-    """
-    blocks = site_pages.agg(F.sum(F.size("blocks"))).first()[0] or 0
-    counts = cm.merged(site_pages, _batched_keys, cm.bits_for(4 * blocks))
-    shared = cm.share(site_pages, counts)
-    weights = session_of(site_pages).sparkContext.broadcast(feature_weights(site_pages, shared))
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, cells_of = weights.value, Cells()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for page in read_pages(batch):
-                for i, n in enumerate(page.nodes):
-                    if navigates(n, page.titles, page.url):
-                        score = -99.0
-                    elif heads_page(n, page.url, page.titles) or told(n, page.titles, page.url, page.site):
-                        score = 99.0
-                    else:
-                        score = float(w[cells_of.of(features(page.nodes, i, page.titles, page.url))].sum(dtype=np.float64))
-                    out.append((page.key, n.block_no, n.kind, n.text, score, score >= 0))
-            key, no, kind, text, score, main = zip(*out, strict=True) if out else ((),) * 6
-            yield arrow({"package_id": (key, pa.int64()), "block_no": (no, pa.int32()), "kind": (kind, pa.string()), "txt": (text, pa.string()), "importance": (score, pa.float64()), "main": (main, pa.bool_())})
-
-    return site_pages.mapInArrow(decide, "package_id long, block_no int, kind string, txt string, importance double, main boolean")
+            for page, url, blocks in rows_of(batch):
+                host, site = site_of(url)
+                site = site or site_in([(b["kind"], b["txt"]) for b in blocks])
+                home = key_of(host) if host else None
+                own = [(b, leaves(b["kind"], b["txt"], site)) for b in blocks]
+                heads = {" ".join(masked(b["txt"] or "", site, False)) for b in blocks if b["kind"] == "heading"}
+                for b, found in own:
+                    at = (page, b["block_no"], home)
+                    if b["kind"] in ALWAYS_MAIN or not found:
+                        out.append((*at, None, None, float(b["kind"] in ALWAYS_MAIN)))
+                        continue
+                    context = key_of(*[leaf for leaf, _ in found])
+                    for leaf, template in found:
+                        if leaf == MASK or (b["kind"] != "heading" and leaf in heads):
+                            out.append((*at, None, None, 0.0))
+                        else:
+                            out.append((*at, key_of("template" if template else "entry", leaf), context if template else None, None))
+            p, n, h, k, c, f = zip(*out, strict=True) if out else ((),) * 6
+            yield arrow({"package_id": (p, pa.int64()), "block_no": (n, pa.int32()), "host": (h, pa.int64()), "leaf": (k, pa.int64()), "context": (c, pa.int64()), "fixed": (f, pa.float64())})
+
+    return site_pages.mapInArrow(read, LEAVES)
+
+
+def _content(n: Column, pages_n: Column) -> Column:
+    """One less the entropy of a leaf that stands on n of so many pages, alike on each: 1 - log n / log pages."""
+    return F.when((pages_n > 1) & (n > 1), 1 - F.log(n) / F.log(pages_n)).otherwise(1.0)
+
+
+def importances(found: DataFrame, hosts: DataFrame, total: int) -> DataFrame:
+    """``leaf, host, importance`` of the leaves that stand on several pages; those of one page have importance 1.
+    Counts are exact and combined before every shuffle, so that a leaf of a third of all pages is a few rows."""
+    each = found.where("leaf is not null").groupBy("package_id", "host", "leaf").agg(F.min("context").alias("context"))
+    met = each.groupBy("leaf", "host", "context").agg(F.count(F.lit(1)).alias("n"))
+    blocks = met.groupBy("leaf", "context").agg(F.sum("n").alias("n"))
+    spread = F.when(F.max("context").isNull(), 0.0).otherwise(F.exp(-F.sum(F.col("n") * F.log("n")) / F.sum("n")))
+    everywhere = blocks.groupBy("leaf").agg(F.sum("n").alias("n_all"), spread.alias("presentation")).where("n_all > 1")
+    here = met.groupBy("leaf", "host").agg(F.sum("n").alias("n_here"))
+    rows = here.join(everywhere, "leaf").join(hosts, "host", "left")
+    on_host = F.when(F.col("host").isNull(), 1.0).otherwise(_content(F.col("n_here"), F.coalesce("pages", F.lit(0))))
+    content = F.least(on_host, _content(F.col("n_all"), F.lit(total)))
+    return rows.select("leaf", "host", (1 - (1 - content) * (1 - F.least(F.lit(1.0), "presentation"))).alias("importance"))
+
+
+def judge(site_pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``package_id, block_no, importance, main`` of each block. ``site_pages`` as ``pages`` gives them; each page is read
+    once, and only keys and counts travel.
+
+    Every block gets a row: a null or empty text has importance 0, a null kind is a kind of its own, a page without a
+    readable address belongs to no host and is judged by the tree of all hosts. Importance at the threshold is main. A
+    page is a unit of work, with all its blocks in one row; an empty table gives no rows.
+    """
+    found = store(tree_leaves(site_pages), "leaves")
+    hosts = found.where("host is not null").groupBy("host").agg(F.count_distinct("package_id").alias("pages"))
+    total = found.select("package_id").distinct().count()
+    known = importances(found, hosts, total).select(F.col("leaf").alias("known"), F.col("host").alias("at"), "importance")
+    rows = found.join(known, (F.col("leaf") == F.col("known")) & F.col("host").eqNullSafe(F.col("at")), "left")
+    value = F.coalesce("fixed", "importance", F.lit(1.0))
+    return rows.groupBy("package_id", "block_no").agg(F.avg(value).alias("importance")).withColumn("main", F.col("importance") >= threshold)
+
+
+def main_text(site_pages: DataFrame, judged: DataFrame) -> DataFrame:
+    """``package_id, n_blocks, main_text`` of each page that has main content."""
+    kept = judged.where("main").groupBy("package_id").agg(F.collect_set("block_no").alias("kept"))
+    texts = F.transform(F.filter("blocks", lambda b: F.array_contains("kept", b["block_no"])), lambda b: F.coalesce(b["txt"], F.lit("")))
+    return site_pages.join(kept, "package_id").select("package_id", F.size("kept").alias("n_blocks"), F.array_join(texts, "\n\n").alias("main_text"))

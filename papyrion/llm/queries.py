@@ -28,18 +28,17 @@ def p2_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return scans.readable(table(spark, folder, "scan_pages"), "package_id", "page_no", "markdown").withColumnRenamed("doc", "package_id")
 
 
-def _judged_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    pages = boilerplate.pages(table(spark, folder, "web_blocks"), "package_id", "block_no", "source_url", "kind", "txt", "ingested_at")
-    return boilerplate.judge(store(pages, "pages"))
+def _site_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.pages(table(spark, folder, "web_blocks"), "package_id", "block_no", "source_url", "kind", "txt", "ingested_at")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _judged_blocks(spark, folder).where("not main").select("package_id", "block_no")
+    return boilerplate.judge(_site_pages(spark, folder)).where("not main").select("package_id", "block_no")
 
 
 def p5_main(spark: SparkSession, folder: str) -> DataFrame:
-    main = _judged_blocks(spark, folder).where("main").groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "txt"))).alias("blocks"))
-    return main.select("package_id", F.size("blocks").alias("n_blocks"), F.array_join("blocks.txt", "\n\n").alias("main_text"))
+    site_pages = store(_site_pages(spark, folder), "pages")
+    return boilerplate.main_text(site_pages, boilerplate.judge(site_pages))
 
 
 def _package_texts(spark: SparkSession, folder: str) -> DataFrame:
