@@ -70,6 +70,7 @@ class Words:
         low = [chr(c).lower() for c in range(0x10000)]
         self.member = np.array([chr(c).isalnum() for c in range(0x10000)])
         self.lower = np.array([ord(x) if len(x) == 1 else c for c, x in enumerate(low)], np.uint32)
+        self.digit = np.array([chr(c).isdigit() for c in range(0x10000)])
 
     def _tables(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if codes.size and codes.max() > 0xFFFF:
@@ -78,7 +79,18 @@ class Words:
             return np.array([c.isalnum() for c in chars])[place], np.array([ord(c.lower()) for c in chars], np.uint32)[place]
         return self.member[codes], self.lower[codes]
 
+    def _digits(self, codes: np.ndarray) -> np.ndarray:
+        if codes.size and codes.max() > 0xFFFF:
+            far, place = np.unique(codes, return_inverse=True)
+            return np.array([chr(c).isdigit() for c in far.tolist()])[place]
+        return self.digit[codes]
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, lengths, _, _ = self.detailed(texts, False)
+        return hashes, lengths
+
+    def detailed(self, texts: list[str], digits: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As a call, and with ``digits`` also how many characters each word has, and how many of them are digits."""
         joined = "\n".join(texts)
         if self.SPECIAL.search(joined):
             lists = [words(t) for t in texts]
@@ -94,7 +106,10 @@ class Words:
         if lengths is None:
             stops = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
             lengths = np.diff(np.searchsorted(starts, stops), prepend=0)
-        return hashes, lengths
+        if not digits:
+            return hashes, lengths, lengths, lengths
+        n = np.concatenate([[0], np.cumsum(self._digits(codes))])
+        return hashes, lengths, ends - starts, n[ends] - n[starts]
 
 
 class WordHashes(dict):
