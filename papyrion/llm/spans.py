@@ -2,14 +2,13 @@
 
 A span of ``length`` characters has, among its shorter windows, one of least hash: the same in every record that holds
 the span. Merged task sketches overestimate in how many records each such window occurs (count-min prefilter); the
-second pass groups only windows estimated repeated, exactly, and compares the text around them. None is lost: an
-overestimate only lets more windows through.
+second pass counts and groups only windows estimated repeated, exactly, and compares the text around those that are. None
+is lost: an overestimate only lets more hashes through to the exact count, and no text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,53 +18,30 @@ from pyspark.sql import functions as F
 
 from papyrion.llm import sketch as cm
 from papyrion.llm.sketch import opened
-from papyrion.llm.text import arrow, chunks, mixed, rows_of
-from papyrion.runtime import small, store
+from papyrion.llm.text import Powers, arrow, chunks, code_points, mixed, prefix_sums, rows_of
+from papyrion.runtime import discard, small, store
 
 #: Windows with more occurrences than this are not grouped in one task but matched by distributed aggregation.
 HOT_WINDOW = 4096
 #: Up to so many members are compared pairwise, more by their texts at each offset.
 FEW = 8
-HOT_SALTS = 16
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-@dataclass
-class Powers:
-    """Powers of the base and of its inverse, grown as needed by each worker."""
-
-    up: np.ndarray
-    down: np.ndarray
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 20)
-            one = np.ones(1, np.uint64)
-            self.up = np.concatenate([one, np.multiply.accumulate(np.full(size - 1, _BASE, np.uint64))])
-            self.down = np.concatenate([one, np.multiply.accumulate(np.full(size - 1, _INVERSE, np.uint64))])
-        return self.up[:n], self.down[:n]
 
 
 def least_windows(texts: list[str], length: int, width: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """Over the concatenated texts: the hash of each window of ``width`` characters, and for each start of a span
     of ``length`` the least of those within it. Starts that run over the end of a text have to be left out."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    codes *= np.uint64(0xD6E8FEB86659FD93)
-    codes ^= codes >> np.uint64(32)
-    up, down = powers.to(len(codes) + 1)
-    sums = np.empty(len(codes) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(codes * up[1:], out=sums[1:])
-    hashes = mixed((sums[width:] - sums[:-width]) * down[: len(sums) - width])
-    least, reach, need = hashes, 1, length - width + 1
+    sums = prefix_sums(code_points("".join(texts)), powers)
+    hashes = mixed((sums[width:] - sums[:-width]) * powers.down[: len(sums) - width])
+    return hashes, _sliding(np.minimum, hashes, length - width + 1)
+
+
+def _sliding(best: np.ufunc, values: np.ndarray, need: int) -> np.ndarray:
+    """The least or greatest of every ``need`` neighbours."""
+    reach = 1
     while reach * 2 <= need:
-        least = np.minimum(least[:-reach], least[reach:])
+        values = best(values[:-reach], values[reach:])
         reach *= 2
-    if need > reach:
-        least = np.minimum(least[: len(least) - (need - reach)], least[need - reach :])
-    return hashes, least
+    return best(values[: len(values) - (need - reach)], values[need - reach :]) if need > reach else values
 
 
 def _starts(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,59 +65,102 @@ def _runs(least: np.ndarray, valid: np.ndarray, offsets: np.ndarray) -> tuple[np
     return first[keep], last[keep]
 
 
-def _window_hashes(length: int, width: int):
-    def hashes_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        powers = Powers(np.empty(0, np.uint64), np.empty(0, np.uint64))
-        for rows in chunks(r for r in rows_of(batch) if len(r[-1]) >= length):
-            texts = [r[-1] for r in rows]
-            _, least = least_windows(texts, length, width, powers)
-            offsets, valid = _starts(texts, length)
-            first, _ = _runs(least, valid, offsets)
-            own = np.searchsorted(offsets, first, "right").astype(np.uint64)
-            # once for each text: a repetition within one is none between two
-            order = np.lexsort((own, least[first]))
-            h, o = least[first][order], own[order]
-            yield h[np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])] if len(h) else h
-
-    return hashes_of
-
-
+def _stands_for(hashes: np.ndarray, least: np.ndarray, first: np.ndarray, last: np.ndarray, rest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, low, high): the places of the least windows of each run of span starts, each with the least and the
+    greatest distance to the starts it stands for. A window that comes again within reach takes the starts beyond it."""
+    padding = np.zeros(rest, np.uint64)
+    chosen = np.flatnonzero(_sliding(np.maximum, np.concatenate([padding, least, padding]), rest + 1) == hashes)
+    values, rank = np.unique(hashes[chosen], return_inverse=True)
+    shift = np.int64(1) << np.int64(33)
+    keys = np.sort(rank * shift + chosen)
+    place = keys[np.searchsorted(keys, np.searchsorted(values, least[first]) * shift + first)] % shift
+    found = [(place, place - np.minimum(last, place), place - first)]
+    more: list[tuple[int, int, int]] = []
+    for k in np.flatnonzero(last > place).tolist():
+        lo, b = int(place[k]) + 1, int(last[k])
+        for p in (np.flatnonzero(hashes[lo : b + rest + 1] == least[first[k]]) + lo).tolist():
+            hi = min(b, p)
+            if hi >= lo:
+                more.append((p, p - hi, p - lo))
+                lo = hi + 1
+            if lo > b:
+                break
+    if more:
+        found.append(tuple(np.array(more, np.int64).T))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+WINDOWS = "w1 long, doc long, at int, low int, high int"
 MEMBERS = "w1 long, w2 long, doc long, at int, low int, high int, left_text string, right_text string"
 
 
-def _members(df: DataFrame, length: int, width: int, shared) -> DataFrame:
-    """A row for each occurrence of a window estimated repeated: its place, and for which distances ``low..high`` to a
-    span's start it stands for the span, with the text around it that those spans cover."""
+def windows(df: DataFrame, length: int, width: int) -> DataFrame:
+    """A row for each window that stands for spans: its hash and place, and for which distances ``low..high`` to a
+    span's start it stands for the span. No text travels."""
     rest = length - width
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = opened(shared.value)
-        powers = Powers(np.empty(0, np.uint64), np.empty(0, np.uint64))
+        powers = Powers()
         for batch in batches:
             for rows in chunks(r for r in rows_of(batch) if len(r[-1]) >= length):
                 texts = [r[-1] for r in rows]
                 hashes, least = least_windows(texts, length, width, powers)
                 offsets, valid = _starts(texts, length)
-                first, last = _runs(least, valid, offsets)
-                often = np.flatnonzero(counts.estimate(least[first]) >= 2)
-                out: list[tuple] = []
-                for a, b in zip(first[often].tolist(), last[often].tolist(), strict=True):
-                    value = least[a]
-                    i = int(np.searchsorted(offsets, a, "right")) - 1
-                    off, text, lo = int(offsets[i]), texts[i], a
-                    for p in (np.flatnonzero(hashes[a : b + rest + 1] == value) + a).tolist():
-                        hi = min(b, p)
-                        if hi >= lo:
-                            q = p - off
-                            out.append((int(value.view(np.int64)), q, rows[i][0], p - hi, p - lo, text[lo - off : q], text[q + width : hi - off + length], xxhash.xxh3_64_intdigest(text[q : q + width].encode("utf-32-le", "surrogatepass")) - (1 << 63)))
-                            lo = hi + 1
-                        if lo > b:
-                            break
-                if out:
-                    w1, at, doc, low, high, left, right, w2 = zip(*out, strict=True)
-                    yield arrow({"w1": (w1, pa.int64()), "w2": (w2, pa.int64()), "doc": (doc, pa.int64()), "at": (at, pa.int32()), "low": (low, pa.int32()), "high": (high, pa.int32()), "left_text": (left, pa.string()), "right_text": (right, pa.string())})
-
-    return df.mapInArrow(find, MEMBERS)
+                place, low, high = _stands_for(hashes, least, *_runs(least, valid, offsets), rest)
+                own = np.searchsorted(offsets, place - high, "right") - 1
+                docs = np.array([r[0] for r in rows], np.int64)
+                yield arrow({"w1": (hashes[place].view(np.int64), pa.int64()), "doc": (docs[own], pa.int64()), "at": (place - offsets[own], pa.int32()), "low": (low, pa.int32()), "high": (high, pa.int32())})
+
+    return df.mapInArrow(find, WINDOWS)
+
+
+def _hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Hashes of the windows of a batch, once for each text: a repetition within one is none between two."""
+    h, doc = (batch.column(i).to_numpy() for i in range(2))
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    if len(h):
+        yield h[np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])].view(np.uint64)
+
+
+def _repeated(found: DataFrame, n: int) -> DataFrame:
+    """The windows that stand in several texts. The merged sketch overestimates and rules out what it has met once;
+    what it lets through is counted exactly, by hash, and only then gathered by text."""
+    shared = cm.share(found, cm.merged(found.select("w1", "doc"), _hashes, cm.bits_for(n)))
+
+    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = opened(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(counts.estimate(batch.column(0).to_numpy().view(np.uint64)) >= 2))
+
+    likely = store(found.mapInArrow(estimated, WINDOWS), "likely")
+    twice = likely.groupBy("w1").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("w1")
+    return likely.join(twice, "w1")
+
+
+def _members(df: DataFrame, places: DataFrame, length: int, width: int) -> DataFrame:
+    """The repeated windows with the text around them that their spans cover."""
+    by_doc = places.groupBy("doc").agg(F.collect_list(F.struct("w1", "at", "low", "high")).alias("places"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, text, own in rows_of(batch):
+                for x in own:
+                    at, low, high = x["at"], x["low"], x["high"]
+                    w2 = xxhash.xxh3_64_intdigest(text[at : at + width].encode("utf-32-le", "surrogatepass")) - (1 << 63)
+                    out.append((x["w1"], w2, doc, at, low, high, text[at - high : at], text[at + width : at - low + length]))
+                if len(out) > 20_000:
+                    yield _member_rows(out)
+                    out = []
+            yield _member_rows(out)
+
+    return df.join(by_doc, "doc").select("doc", "text", "places").mapInArrow(cut, MEMBERS)
+
+
+def _member_rows(out: list[tuple]) -> pa.RecordBatch:
+    w1, w2, doc, at, low, high, left, right = zip(*out, strict=True) if out else ((),) * 8
+    return arrow({"w1": (w1, pa.int64()), "w2": (w2, pa.int64()), "doc": (doc, pa.int64()), "at": (at, pa.int32()), "low": (low, pa.int32()), "high": (high, pa.int32()), "left_text": (left, pa.string()), "right_text": (right, pa.string())})
 
 
 def _common(a: str, b: str) -> int:
@@ -228,14 +247,15 @@ def _spans(found: list[tuple[int, int, int]], length: int) -> pa.RecordBatch:
 
 
 def _spread_members(members: DataFrame, length: int, width: int) -> DataFrame:
-    """The same for windows with very many occurrences: one row a span, counted before the shuffle, joined by salt."""
+    """The same for windows with very many occurrences: one row a span, counted before the shuffle, joined by as many
+    ``salts`` as the window needs."""
     rest = length - width
-    rows = members.select("w1", "w2", "doc", "at", "high", "left_text", "right_text", F.explode(F.sequence("low", "high")).alias("o")).select(
-        "w1", "w2", "o", "doc", "at", F.pmod("doc", F.lit(HOT_SALTS)).cast("int").alias("salt"),
+    rows = members.select("w1", "w2", "doc", "at", "high", "left_text", "right_text", "salts", F.explode(F.sequence("low", "high")).alias("o")).select(
+        "w1", "w2", "o", "doc", "at", "salts", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"),
         F.unhex(F.md5(F.concat_ws("\u0000", F.expr("substring(left_text, high - o + 1, o)"), F.expr(f"substring(right_text, 1, {rest} - o)")))).alias("around"),
     )
-    repeated = rows.groupBy("w1", "w2", "o", "around").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
-    repeated = repeated.select("w1", "w2", "o", "around", F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).alias("salt"))
+    repeated = rows.groupBy("w1", "w2", "o", "around").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("salts").alias("salts")).where("a < b")
+    repeated = repeated.select("w1", "w2", "o", "around", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     found = rows.join(repeated, ["w1", "w2", "o", "around", "salt"]).groupBy("doc", "at").agg(F.max("o").alias("high"), F.min("o").alias("low"))
     return found.select("doc", (F.col("at") - F.col("high")).cast("int").alias("start"), (F.col("at") - F.col("low") + length).cast("int").alias("stop"))
 
@@ -249,17 +269,17 @@ def shared_spans(df: DataFrame, doc: str, text: str, length: int = 300, hot: int
     """
     width = length // 2
     docs = df.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= length))
+    # of copies only the first goes on; the join by digest is split where one text is very often repeated
     digests = store(docs.select("doc", F.length("text").alias("n"), F.unhex(F.md5("text")).alias("digest")), "digests")
-    chars = digests.agg(F.sum("n")).first()[0] or 0
     copied = digests.groupBy("digest", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     copies = store(digests.join(copied, ["digest", "n"]).select("doc", "n", "first").distinct(), "copies")
     extra = copies.where("doc <> first").select("doc")
     single = docs.join(small(extra, extra.count()), "doc", "left_anti")
 
-    counted = cm.merged(single, _window_hashes(length, width), cm.bits_for(2 * chars // (length - width)))
-    members = store(_members(single, length, width, cm.share(df, counted)), "members")
-    del counted
-    many = members.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("w1", "w2")
+    found = store(windows(single, length, width), "windows")
+    members = store(_members(single, _repeated(found, found.count()), length, width), "members")
+    discard(found)
+    many = members.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("w1", "w2", F.ceil(F.col("n") / hot).cast("int").alias("salts"))
     many = store(many, "hot")
     n_many = many.count()
     grouped = _group_members(members.join(small(many, n_many), ["w1", "w2"], "left_anti") if n_many else members, length, width)

@@ -49,6 +49,24 @@ def test_against_brute_force(spark, seed, hot):
     assert got == brute(texts, 40)
 
 
+def test_a_full_sketch_changes_nothing_and_moves_no_text(spark, monkeypatch):
+    texts = corpus(4)
+    full = spans.cm.merged
+
+    def loose(*given):
+        sketch = full(*given)
+        sketch.cells[:] = sketch.most  # as if every cell were full
+        return sketch
+
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    docs = df.selectExpr("doc_id AS doc", "text").where("length(text) >= 40")
+    members = lambda: spans._members(docs, spans._repeated(spans.windows(docs, 40, 20), 100), 40, 20)
+    before = sorted(tuple(r) for r in members().collect())
+    monkeypatch.setattr(spans.cm, "merged", loose)
+    assert sorted(tuple(r) for r in members().collect()) == before
+    assert {tuple(r) for r in spans.shared_spans(df, "doc_id", "text", 40).collect()} == brute(texts, 40)
+
+
 def test_many_members_of_one_window(spark):
     rng = random.Random(5)
     word = "".join(rng.choice("abcdef") for _ in range(60))
