@@ -45,11 +45,12 @@ def section_starts(text: str) -> list[int]:
     return starts
 
 
-def sections(text: str) -> list[str]:
-    """The sections of a text, stripped; empty ones are dropped."""
-    text = read_newlines(text)
+def sections(text: str) -> list[tuple[int, int]]:
+    """Start and end of the sections of a text with LF line ends, without the white space around them; empty ones are
+    dropped."""
     starts = [*section_starts(text), len(text)]
-    return [s for a, b in zip(starts, starts[1:], strict=False) if (s := text[a:b].strip())]
+    spans = ((a + len(part) - len(part.lstrip()), a + len(part.rstrip())) for a, b in zip(starts, starts[1:], strict=False) for part in (text[a:b],))
+    return [(a, b) for a, b in spans if a < b]
 
 
 def boundaries(text: str) -> dict[int, int]:
@@ -143,18 +144,30 @@ def pieces(text: str, size: int | None, overlap: int | None) -> list[tuple[int,
 
 
 def long_sections(df: DataFrame, key: str, text: str, size: str) -> DataFrame:
-    """``key, section_no`` of the sections longer than the row's size (null: the default) in code points."""
+    """``key, section_no`` of the sections longer than the row's size (null: the default) in code points.
+
+    They are the sections within which ``pieces`` had to cut, measured once more: a section longer than the size can't
+    lie within one piece. No piece is under a size below one, so there every section counts. Null keys and texts give no
+    rows; repeated rows count once, which the few rows found tell more cheaply than the texts.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(k, i) for k, t, s in rows_of(batch) for i, part in enumerate(sections(t), 1) if len(part) > (SIZE if s is None else s)]
+            found: list[tuple[int, int]] = []
+            for k, t, s in rows_of(batch):
+                t, limit = read_newlines(t), SIZE if s is None else s
+                cuts = [b for _, b, _, _ in pieces(t, limit, 0)][:-1]
+                for no, (a, b) in enumerate(sections(t), 1):
+                    cut = limit < 1 or bisect_left(cuts, b) > bisect_right(cuts, a)
+                    if cut and b - a > limit:
+                        found.append((k, no))
             yield arrow({"key": ([k for k, _ in found], pa.int64()), "section_no": ([i for _, i in found], pa.int32())})
 
-    return _texts(df, key, text, size).mapInArrow(scan, "key long, section_no int").distinct()
+    return _rows(df, key, text, size).mapInArrow(scan, "key long, section_no int").distinct()
 
 
-def _texts(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
-    return df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").cast("int").alias(f"m{i}") for i, c in enumerate(more)]).where("key is not null and text is not null").distinct()
+def _rows(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    return df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").cast("int").alias(f"m{i}") for i, c in enumerate(more)]).where("key is not null and text is not null")
 
 
 def split(df: DataFrame, key: str, text: str, size: str, overlap: str, stated: str) -> DataFrame:
@@ -183,4 +196,4 @@ def split(df: DataFrame, key: str, text: str, size: str, overlap: str, stated: s
                         out, held = [], 0
             yield packed(out)
 
-    return _texts(df, key, text, size, overlap, stated).mapInArrow(cut, "key long, piece_no int, span_start int, span_end int, overlap int, ends_at string, piece string, pieces int, stated int")
+    return _rows(df, key, text, size, overlap, stated).distinct().mapInArrow(cut, "key long, piece_no int, span_start int, span_end int, overlap int, ends_at string, piece string, pieces int, stated int")
