@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.llm.text import arrow, rows_of
-from papyrion.runtime import store
+from papyrion.runtime import session_of, store
 
 #: Documents expected in a block.
 BLOCK_DOCS = 50_000
@@ -26,11 +28,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
-def encoding(path: str):
+@lru_cache(maxsize=2)
+def encoding(vocabulary: bytes):
+    """The tokenizer of a vocabulary's lines, built once by each worker."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -41,10 +44,12 @@ def source_name(col: Column) -> Column:
 
 
 def token_counts(df: DataFrame, doc: str, text: str, source: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc, source, tokens`` of every document; a null text has none."""
+    """``doc, source, tokens`` of every document; a null text has none. The driver reads the vocabulary, a file of one or
+    two MB, and sends it to the workers."""
+    lines = session_of(df).sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
+        encode = encoding(lines.value).encode_ordinary
         for batch in batches:
             docs, sources, texts = zip(*rows_of(batch), strict=True) if batch.num_rows else ((), (), ())
             yield arrow({"doc": (docs, pa.int64()), "source": (sources, pa.string()), "tokens": ([len(encode(t)) if t else 0 for t in texts], pa.int64())})

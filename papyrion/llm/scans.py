@@ -10,9 +10,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ EDGE_LINES = 3
 ALIKE = 0.86
 #: How much two of them may differ in length, and on how many pages a line stands that runs over them in any case.
 NEAR, OFTEN = 4, 3
+#: A word of more readings than this is read alike for signs of one kind.
+MANY_READINGS = 64
 #: A word is taken for misread if a reading of it is so many times as frequent, and has been met so often.
 RATIO, KNOWN = 4, 4
 
@@ -87,6 +90,15 @@ class Asking:
             n = self.bounds[word] = int(self.sketch.estimate(np.array([key_of(word)], np.uint64))[0])
         return n
 
+    def prepare(self, words: set[str]) -> None:
+        """Looks many words up at once."""
+        new = [w for w in words if w not in self.bounds]
+        if len(self.bounds) + len(new) > 1_000_000:
+            self.bounds.clear()
+            new = list(words)
+        estimates = self.sketch.estimate(np.fromiter(map(key_of, new), np.uint64, len(new)))
+        self.bounds.update(zip(new, estimates.tolist(), strict=True))
+
     def token(self, token: str) -> frozenset[str]:
         """The words whose counts decide how a token is read, whichever way ``_misread`` goes."""
         found = self.of_token.get(token)
@@ -113,6 +125,10 @@ def asked(pages: list[tuple[int, list[str]]], asking: Asking) -> set[int]:
     """Keys of all words whose counts ``repair`` may need for these pages."""
     marks = furniture(pages)
     lines = [text for p, (_, own) in enumerate(pages) for i, text in enumerate(own) if text.strip() and (p, i) not in marks]
+    following = [x.split()[0] for x in lines[1:]]
+    halves = [(half, rest) for text, rest in zip(lines, following, strict=False) if (half := broken_end(text))]
+    tokens = {t for text in lines for t in text.split()} | {t for half, rest in halves for t in (half[0], half[0] + rest)}
+    asking.prepare(possible_words(t for t in tokens if t not in asking.of_token) | {w for half, rest in halves for group in ways(half[0], rest) for w in group})
     words: set[str] = set()
     for text, after in zip(lines, [*lines[1:], None], strict=False):
         for token in text.split():
@@ -126,6 +142,19 @@ def asked(pages: list[tuple[int, list[str]]], asking: Asking) -> set[int]:
     return {key_of(w) for w in words}
 
 
+def possible_words(tokens: Iterable[str]) -> set[str]:
+    """The words that tokens may stand for, as they are or misread."""
+    found: set[str] = set()
+    for token in tokens:
+        for part in re.split(r"(['’\-])", split_token(token)[1]):
+            if len(part) > 1:
+                lows = {part.lower(), part[:-1].lower()} if part[-1] == "!" else {part.lower()}
+                found |= lows
+                for low in lows:
+                    found.update(readings(low))
+    return found
+
+
 def vocabulary_of(text: str) -> list[str]:
     """Words of a page in lower case, but not the halves of words broken at a line's end; with compounds."""
     out: list[str] = []
@@ -269,7 +298,7 @@ def furniture(pages: list[tuple[int, list[str]]]) -> set[tuple[int, int]]:
 def usable(e: Edge) -> bool:
     """Whether a line may run over pages: no heading, list item or table row, and not the end of a sentence."""
     text = e.text.strip()
-    return not BODY_START.match(text) and len(text) <= 120 and text[-1:] not in ".,;:" and any(c.isalpha() for c in text)
+    return not BODY_START.match(text) and text[-1:] not in ".,;:" and any(c.isalpha() for c in text)
 
 
 def titlelike(e: Edge, lines: list[str], top: bool, width: float) -> bool:
@@ -347,9 +376,15 @@ def readings(word: str) -> Iterator[str]:
             yield word[:at] + c + word[at + 1 :]
         return
     if signs:
+        if math.prod(len(SIGNS[word[i]]) for i in signs) > MANY_READINGS:
+            # so many doubtful signs that a scanner reads each kind of them alike throughout
+            kinds = sorted({word[i] for i in signs})
+            for letters in product(*[SIGNS[c] for c in kinds]):
+                yield word.translate(str.maketrans(dict(zip(kinds, letters, strict=True))))
+            return
         options = [word]
         for i in signs:
-            options = [o[:i] + c + o[i + 1 :] for o in options for c in SIGNS[word[i]]][:64]
+            options = [o[:i] + c + o[i + 1 :] for o in options for c in SIGNS[word[i]]]
         yield from options
         return
     for shape, letter in SHAPES:

@@ -130,5 +130,14 @@ def test_counts_are_exact_however_loose_the_sketch(spark, monkeypatch):
     assert (1, 10, 1) not in want and {(1, 1, 10, "char"), (1, 1, 10, "hyphen")} <= set(want)
 
 
+def test_words_with_many_doubtful_signs_and_long_furniture():
+    word = "ililililililil"
+    known = lambda w: 9 * (w == "l" * 14 + "a")
+    assert scans.repaired(word.replace("i", "1").replace("l", "|") + "a", known) == "l" * 14 + "a" and len(list(scans.readings("1" * 40 + "a"))) == 2
+    line = "A running title that is longer than any line of this page " * 3
+    own = [(i, [line, "", "first line of this page", "second line"]) for i in range(1, 5)]
+    assert {(i, 0) for i in range(4)} <= scans.furniture(own)
+
+
 def test_long_page():
     assert len(scans.repair([(1, ["word " * 2000] * 50)], counts())) == 50
