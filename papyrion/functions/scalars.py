@@ -53,6 +53,11 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
 
+def numbered(no: Column) -> Column:
+    """A number with three digits at least."""
+    return F.when(no < 1000, F.lpad(no.cast("string"), 3, "0")).otherwise(no.cast("string"))
+
+
 def stem(path: Column) -> Column:
     """The file name of a path without its last extension."""
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
@@ -189,14 +194,18 @@ def page_title_of(markdown: Column, path: Column) -> Column:
     return F.coalesce(*[clean_title(c) for c in (own, heading, name)], F.lit("document"))
 
 
+# A number before a heading, a page after it, what is left at its ends.
+LEADING_NUMBER = r"(?i)^\s*(?:\d+(?:\.\d+)*[.)]?|[IVXLCDM]+[.)])\s+"
+TRAILING_PAGE = r"(?i)(?:\s*[.·•…]{2,}\s*|\s+)(?:\d+|[ivxlcdm]+)\s*$"
+HEADING_ENDS = r"^[ .:\-–—\t]+|[ .:\-–—\t]+$"
+
+
 def clean_heading(col: Column) -> Column:
     """A heading's words: no marks, links as their text, no number before, no page after."""
-    out = F.regexp_replace(strip(col), r"^#{1,6}\s+", "")
-    out = F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"[`*_~]", "")
-    out = F.regexp_replace(out, r"^\s*(?:\d+(?:\.\d+)*[.)]?|[IVXLC]+[.)])\s+", "")
-    out = F.regexp_replace(out, r"(?:\s*\.{2,}\s*|\s{2,}|\t)\d+\s*$", "")
-    return F.regexp_replace(F.regexp_replace(out, r"(?U)\s+", " "), r"^[ .:\-–—\t]+|[ .:\-–—\t]+$", "")
+    out = strip(col)
+    for pattern, instead in ((r"^#{1,6}\s+", ""), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"[`*_~]", ""), (LEADING_NUMBER, ""), (TRAILING_PAGE, ""), (r"\s+", " "), (HEADING_ENDS, "")):
+        out = F.regexp_replace(out, pattern, instead)
+    return out
 
 
 @F.pandas_udf(T.StringType())
@@ -245,10 +254,20 @@ def cell_text(col: Column, kind: str) -> Column:
     return F.coalesce(F.upper(col.cast("string")) if kind == "boolean" else col.cast("string"), F.lit(""))
 
 
+# Names of page widths and what the target calls them; nothing where the target's own width stays.
+PAGE_WIDTHS = {
+    "narrow": "default", "etroit": "default", "étroit": "default", "fixed": "default", "fixed-width": "default", "default": "default",
+    "wide": "full-width", "large": "full-width", "full": "full-width", "full-width": "full-width",
+    "max": "max", "maximum": "max", "confluence-default": "", "unset": "", "none": "",
+}
+
+
 def page_width(col: Column) -> Column:
-    """The name of a page width in the target's terms, null if unknown."""
-    low = F.lower(strip(col))
-    return F.when(low.isin("narrow", "default", "fixed"), "default").when(low.isin("wide", "full", "full-width", "fullwidth"), "full-width").when(low.isin("max", "maximum"), "max")
+    """The name of a page width in the target's terms, ``max`` for none given, empty where the target's own stays; an
+    unknown one is an error."""
+    low = F.lower(strip(F.coalesce(F.nullif(col, F.lit("")), F.lit("max"))))
+    known = F.create_map(*[F.lit(x) for pair in PAGE_WIDTHS.items() for x in pair])[low]
+    return F.when(known.isNotNull(), known).otherwise(F.raise_error(F.concat(F.lit("unsupported page width: "), col)))
 
 
 def storage_to_html(col: Column) -> Column:

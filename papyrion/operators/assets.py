@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrion.functions.scalars import absolute_reference
+from papyrion.functions.scalars import absolute_reference, numbered
 from papyrion.operators.relations import unique_lookup
 
 IMAGE = r"!\[([^\]]*)\]\(([^)\s]+)[^)]*\)"
@@ -58,7 +58,7 @@ def recovered(members: DataFrame, saved: DataFrame, refs: DataFrame, doc: str, p
     named = members.withColumn("name", F.regexp_extract("member", r"([^/]*)$", 1)).join(wanted, [doc, "name"], "left_semi")
     new = by_content(named, saved, doc).where("file is null").groupBy(doc, "sha256").agg(F.min("member").alias("member"))
     no = F.row_number().over(Window.partitionBy(doc).orderBy("member"))
-    return new.select(doc, "sha256", "member", F.concat(F.lit(prefix + "_"), F.lpad(no.cast("string"), 3, "0"), F.regexp_extract("member", r"(\.[^./]+)$", 1)).alias("file"))
+    return new.select(doc, "sha256", "member", F.concat(F.lit(prefix + "_"), numbered(no), F.regexp_extract("member", r"(\.[^./]+)$", 1)).alias("file"))
 
 
 def matched(payloads: DataFrame, assets: DataFrame, doc: str) -> DataFrame:

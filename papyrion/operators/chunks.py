@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.functions.scalars import strip
+from papyrion.functions.scalars import clean_heading, strip
 
 MAX_CHARACTERS, OVERLAP = 1600, 150
 LINE_BREAK = r"\r\n|[\r\x0B\x0C\x1C\x1D\x1E\u0085\u2028\u2029]"
@@ -97,10 +97,11 @@ def chunk(df: DataFrame, text: str, keep: list[str], most: int = MAX_CHARACTERS,
 
 
 def outline(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Headings as the text has them: ``line_no, level, title, confidence``, with up to three blanks before the marks."""
-    pattern = r"(?U)^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
+    """Headings as the text has them: ``line_no, level, title, confidence``, with up to three blanks before the marks, the
+    title cleaned."""
+    pattern = r"^\s{0,3}(#{1,6})\s+(.+?)\s*$"
     found = lines(df, text, keep).where(F.col("line").rlike(pattern))
-    return found.select(*keep, "line_no", F.length(F.regexp_extract("line", pattern, 1)).alias("level"), F.regexp_extract("line", pattern, 2).alias("title"), F.lit(0.8).alias("confidence"))
+    return found.select(*keep, "line_no", F.length(F.regexp_extract("line", pattern, 1)).alias("level"), clean_heading(F.regexp_extract("line", pattern, 2)).alias("title"), F.lit(0.8).alias("confidence"))
 
 
 def fences(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

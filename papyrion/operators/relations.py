@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrion.functions.scalars import numbered
+
 
 def keep_first(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in order. The least row is found by aggregation, so copies shrink before they travel."""
@@ -43,7 +45,7 @@ def first_seen_names(df: DataFrame, group: list[str], item: str, position: str,
     """Names ``prefix_001…`` of the different items of a group, in the order in which they first occur."""
     first = df.where(F.col(item).isNotNull()).groupBy(*group, item).agg(F.min(position).alias("first_at"))
     no = F.row_number().over(Window.partitionBy(*group).orderBy("first_at", item))
-    return first.withColumn("name", F.concat(F.lit(prefix + "_"), F.lpad(no.cast("string"), 3, "0"), suffix if suffix is not None else F.lit("")))
+    return first.withColumn("name", F.concat(F.lit(prefix + "_"), numbered(no), suffix if suffix is not None else F.lit("")))
 
 
 def clamped_positions(left: DataFrame, right: DataFrame, by: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:

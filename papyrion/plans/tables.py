@@ -61,8 +61,8 @@ def repeated_images_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return R.collapse_repeated(images, ["src"], ["package_id", "block_no"], 3)
 
 
-@query("""WITH i AS (SELECT package_id, src, min(block_no) AS first_at FROM blocks WHERE kind = 'image' AND src IS NOT NULL GROUP BY ALL)
-SELECT package_id, src, first_at, 'image_' || lpad(CAST(row_number() OVER (PARTITION BY package_id ORDER BY first_at, src) AS VARCHAR), 3, '0') || regexp_extract(src, '(\\.[^./]+)$', 1) AS name FROM i""".replace("\\\\", "\\"))
+@query("""WITH i AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY first_at, src) AS k FROM (SELECT package_id, src, min(block_no) AS first_at FROM blocks WHERE kind = 'image' AND src IS NOT NULL GROUP BY ALL))
+SELECT package_id, src, first_at, 'image_' || CASE WHEN k < 1000 THEN lpad(CAST(k AS VARCHAR), 3, '0') ELSE CAST(k AS VARCHAR) END || regexp_extract(src, '(\\.[^./]+)$', 1) AS name FROM i""".replace("\\\\", "\\"))
 def image_names(spark: SparkSession, folder: str) -> DataFrame:
     images = table(spark, folder, "blocks").where("kind = 'image'")
     return R.first_seen_names(images, ["package_id"], "src", "block_no", "image", F.regexp_extract("src", r"(\.[^./]+)$", 1))

@@ -81,8 +81,15 @@ def document_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return C.paragraphs(table(spark, folder, "documents"), "text", ["doc_id"])
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text <> '')
-SELECT doc_id, CAST(i AS INTEGER) AS line_no, CAST(length(regexp_extract(line, '^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$', 1)) AS INTEGER) AS level, regexp_extract(line, '^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$', 2) AS title, CAST(0.8 AS DOUBLE) AS confidence FROM l WHERE regexp_matches(line, '^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$')""")
+def _clean_heading_sql(col: str) -> str:
+    steps = ((r"^\s+|\s+$", ""), (r"^#{1,6}\s+", ""), (r"\[([^\]]+)\]\([^)]*\)", r"\1"), (r"[`*_~]", ""), (S.LEADING_NUMBER, ""), (S.TRAILING_PAGE, ""), (r"\s+", " "), (S.HEADING_ENDS, ""))
+    for pattern, instead in steps:
+        col = f"regexp_replace({col}, '{pattern}', '{instead}', 'g')"
+    return col
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text <> '')
+SELECT doc_id, CAST(i AS INTEGER) AS line_no, CAST(length(regexp_extract(line, '^\s{{0,3}}(#{{1,6}})\s+(.+?)\s*$', 1)) AS INTEGER) AS level, {_clean_heading_sql(r"regexp_extract(line, '^\s{0,3}(#{1,6})\s+(.+?)\s*$', 2)")} AS title, CAST(0.8 AS DOUBLE) AS confidence FROM l WHERE regexp_matches(line, '^\s{{0,3}}(#{{1,6}})\s+(.+?)\s*$')""")
 def document_outline(spark: SparkSession, folder: str) -> DataFrame:
     return C.outline(table(spark, folder, "documents"), "text", ["doc_id"])
 

@@ -27,7 +27,17 @@ SNIFFED = 65_536
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-MARKERS = {"drawings": r"<w:drawing\b", "vml_pictures": r"<w:pict\b", "charts": r"<c:chart\b", "smart_art": r"<dgm:relIds\b", "text_boxes": r"<w:txbxContent\b", "math": r"<m:oMath\b", "groups": r"<wpg:wgp\b", "canvases": r"<wpc:wpc\b", "ole_objects": r"<o:OLEObject\b"}
+MARKERS = {
+    "drawing": r"<(?:w:)?drawing\b",
+    "legacy_vml_picture": r"<(?:w:)?pict\b",
+    "vml_shape": r"<v:shape\b",
+    "chart": r"<c:chart\b",
+    "diagram": r"<dgm:relIds\b",
+    "shape": r"<(?:wps:wsp|p:sp)\b",
+    "connector": r"<p:cxnSp\b",
+    "group_shape": r"<(?:wpg:wgp|p:grpSp)\b",
+    "alternate_content": r"<mc:AlternateContent\b",
+}
 
 
 def discover(spark: SparkSession, folder: str, wanted: list[str] | None = None, recursive: bool = True) -> DataFrame:
@@ -181,7 +191,7 @@ def _heading_styles(z: zipfile.ZipFile) -> dict[str, int]:
 
 
 def word_paragraphs(files: DataFrame) -> DataFrame:
-    """``path, paragraph_no, level, number_id, number_level, bold, size, style, text`` of word-processor files; level is
+    """``path, paragraph_no, level, number_id, number_level, bold, size, style, align, text`` of word-processor files; level is
     a heading's, by the paragraph's own outline level or its style's."""
 
     def read(path: str, content: bytes) -> Iterator[tuple]:
@@ -198,13 +208,14 @@ def word_paragraphs(files: DataFrame) -> DataFrame:
                 level = int(own) + 1 if own and own.isdigit() and int(own) < 9 else styles.get(style or "")
                 runs = list(p.iter(f"{WORD}r"))
                 text = "".join(t.text or "" for r in runs for t in r.iter(f"{WORD}t"))
-                heavy = sum(len(t.text or "") for r in runs if r.find(f"{WORD}rPr/{WORD}b") is not None for t in r.iter(f"{WORD}t"))
+                full = [r for r in runs if "".join(t.text or "" for t in r.iter(f"{WORD}t")).strip()]
+                heavy = sum(r.find(f"{WORD}rPr/{WORD}b") is not None for r in full)
                 sizes = [int(v) / 2 for r in runs if (v := value(r.find(f"{WORD}rPr/{WORD}sz"))) and v.isdigit()]
                 n, nl = value(find("numPr/numId")), value(find("numPr/ilvl"))
-                yield i, level, n, int(nl) if nl and nl.isdigit() else None, bool(text) and heavy >= 0.6 * len(text), max(sizes, default=None), style, text
+                yield i, level, n, int(nl) if nl and nl.isdigit() else None, bool(full) and heavy >= 0.6 * len(full), max(sizes, default=None), style, value(find("jc")), text
 
-    types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.float64(), pa.string(), pa.string()]
-    return _each(files, "paragraph_no int, level int, number_id string, number_level int, bold boolean, size double, style string, text string", types, read)
+    types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.float64(), pa.string(), pa.string(), pa.string()]
+    return _each(files, "paragraph_no int, level int, number_id string, number_level int, bold boolean, size double, style string, align string, text string", types, read)
 
 
 def core_titles(files: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def test_word_files(spark):
     df = table(spark, {"a.docx": doc, "bad.docx": b"x"})
     got = [(r.level, r.number_id, r.number_level, r.bold, r["size"], r.text) for r in S.word_paragraphs(df).collect() if r.error is None]
     assert got == [(2, None, None, False, None, "Head"), (1, "7", 1, True, 20.0, "Big"), (None, None, None, False, None, "")]
-    parts = {r.media: (r.role, r.markers["drawings"]) for r in S.office_parts(df).collect() if r.error is None}
+    parts = {r.media: (r.role, r.markers["drawing"]) for r in S.office_parts(df).collect() if r.error is None}
     assert parts == {"word/media/a.png": ("content", 1), "word/media/h.png": ("header", 1), "word/media/o.png": ("other", 1)}
     assert {r.path: r.title for r in S.core_titles(df).collect()} == {"a.docx": "Core", "bad.docx": None}
 
