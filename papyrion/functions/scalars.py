@@ -277,3 +277,83 @@ def storage_to_html(col: Column) -> Column:
     out = F.regexp_replace(out, r'(?s)<ac:image[^>]*>\s*<ri:url[^>]*ri:value="([^"]*)"[^>]*/>\s*</ac:image>', '<img src="$1"/>')
     out = F.regexp_replace(F.regexp_replace(out, r"<ac:rich-text-body[^>]*>", "<div>"), r"</ac:rich-text-body>", "</div>")
     return F.regexp_replace(out, r"(?s)</?(?:ac|ri):[^>]*>", "")
+
+
+# Section titles by language.
+LABELS = {
+    "comments": {"en": "Comments", "fr": "Commentaires", "de": "Kommentare", "es": "Comentarios", "zh": "评论"},
+    "attachments": {"en": "Attachments", "fr": "Pièces jointes", "de": "Anhänge", "es": "Adjuntos", "zh": "附件"},
+}
+#: Suffixes that images from the web keep.
+WEB_IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".bmp", ".tif", ".tiff")
+#: Where a title may come from, most reliable first.
+TITLE_SOURCES = ("core_properties", "document_visual_title", "pdf_metadata", "first_slide_title", "extractor_metadata", "document_heading", "filename")
+
+
+def translated(key: Column, lang: Column, labels: dict[str, dict[str, str]] = LABELS) -> Column:
+    """A label in a language, else in English, else its key."""
+    flat = F.create_map(*[F.lit(x) for k, by in labels.items() for code, text in by.items() for x in (f"{k}/{code}", text)])
+    own = language(lang)
+    return F.coalesce(flat[F.concat_ws("/", key, own)], flat[F.concat(key, F.lit("/en"))], key)
+
+
+def formula_display(cached: Column, formula: Column) -> Column:
+    """What a formula's cell shows: its last value, or that there is none."""
+    return F.coalesce(cached, F.concat(F.lit("[no value stored: "), formula, F.lit("]")))
+
+
+def title_chain(**candidates: Column) -> tuple[Column, Column]:
+    """(title, its source): the first candidate in the order of ``TITLE_SOURCES`` that says something; a file's name as it
+    stands where none does."""
+    given = [(n, candidates[n]) for n in TITLE_SOURCES if n in candidates and n != "filename"]
+    title, origin = first_title(*given)
+    return F.coalesce(title, candidates["filename"]), F.coalesce(origin, F.lit("filename"))
+
+
+def web_asset_name(url: Column, no: Column, mime: Column) -> Column:
+    """``web_001.png``: by the address's suffix, else the media type; others end in ``.bin``."""
+    suffix = F.lower(F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*/(?:.*/)?[^/]*?(\.[^./]+)$", 1))
+    kind = F.lower(strip(F.split(F.coalesce(mime, F.lit("")), ";")[0]))
+    by_type = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in IMAGE_TYPES.items()], F.lit(".bin"))
+    end = F.when(suffix == "", by_type).when(suffix.isin(*WEB_IMAGES), suffix).otherwise(".bin")
+    return F.concat(F.lit("web_"), numbered(no), end)
+
+
+@F.pandas_udf(T.StringType())
+def joined_address(base: pd.Series, reference: pd.Series) -> pd.Series:
+    """Arrow function: a reference as it is meant on a page, by RFC 3986; null if one is null or malformed."""
+    from urllib.parse import urljoin
+
+    def join(b: str | None, r: str | None) -> str | None:
+        try:
+            return urljoin(b, r) if b is not None and r is not None else None
+        except ValueError:
+            return None
+
+    return pd.Series([join(b, r) for b, r in zip(base, reference, strict=True)], dtype="object")
+
+
+def json_safe(**columns: Column) -> Column:
+    """Columns as one JSON object; bytes by their length only."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]))
+
+
+def redacted(payload: Column) -> Column:
+    """A payload in a record: how many bytes it has."""
+    return F.concat(F.lit("<bytes:"), F.octet_length(payload).cast("string"), F.lit(">"))
+
+
+def is_page(kind: Column) -> Column:
+    """Whether a content type is a page's, which it is where none is given."""
+    return F.lower(F.coalesce(kind, F.lit("page"))) == "page"
+
+
+def marker_summary(counts: Column) -> Column:
+    """``k=v, k=v`` of the counters above nought of a map, by name; empty without any."""
+    some = F.array_sort(F.map_entries(F.map_filter(counts, lambda k, v: v > 0)))
+    return F.array_join(F.transform(some, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
+
+
+def fidelity(counts: Column) -> Column:
+    """``partial`` if anything was counted that can't be shown as text, else ``full``."""
+    return F.when(F.exists(F.map_values(counts), lambda v: v > 0), "partial").otherwise("full")

@@ -94,6 +94,18 @@ def page_of(df: DataFrame, order: list[Column], size: int) -> DataFrame:
     return df.orderBy(*order).limit(max(1, min(100, size)))
 
 
+def page_token(page: DataFrame, order: list[str]) -> list | None:
+    """Where the next page begins: the last row's values of the order, None after an empty page."""
+    last = page.agg(F.max(F.struct(*order)).alias("last")).first()["last"]
+    return None if last is None else [last[c] for c in order]
+
+
+def page_after(df: DataFrame, order: list[str], token: list | None, size: int) -> DataFrame:
+    """The page of an ascending order that follows the token; no row before it is counted again."""
+    rest = df if token is None else df.where(F.struct(*order) > F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, token, strict=True)]))
+    return page_of(rest, [F.col(c) for c in order], size)
+
+
 def useful_fields(df: DataFrame, key: str, payload: str, dropped: tuple[str, ...] = ("description", "attachment", "comment")) -> DataFrame:
     """``key, field, value`` of a flat JSON object, without empty and unwanted fields."""
     fields = F.map_filter(F.from_json(F.col(payload), "map<string,string>"), lambda k, v: v.isNotNull() & ~v.isin("", "[]", "{}") & ~k.isin(*dropped))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions.scalars import escape_markdown, strip
@@ -52,3 +52,68 @@ def issue_blocks(issues: DataFrame, comments: DataFrame, attachments: DataFrame)
     for more in (meta, text, heads, who, said, attached, pictures, links):
         out = out.unionByName(more)
     return out
+
+
+# ---------------------------------------------------------------- instances, queries, media
+
+
+def merged_instances(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Instances of two registers by name; where both have one, the first one's row counts as a whole."""
+    rest = [c for c in first.columns if c != key]
+    one = first.select(F.col(key), F.struct(*rest).alias("a"))
+    both = one.join(second.select(F.col(key), F.struct(*rest).alias("b")), key, "full_outer")
+    return both.select(key, F.coalesce("a", "b").alias("row")).select(key, "row.*")
+
+
+def resolved_instance(requests: DataFrame, instances: DataFrame, fallback: str | None, only: bool) -> DataFrame:
+    """``request_id, instance, error``: the instance asked for, else the default, else the first by name, or with ``only`` the
+    sole one there is. One that is not known is an error."""
+    names = instances.agg(F.array_sort(F.collect_set("name")).alias("names"))  # a row of configured instances
+    sole = F.when(F.size("names") == 1, F.get("names", F.lit(0))) if only else F.get("names", F.lit(0))
+    wanted = F.coalesce(F.nullif("asked", F.lit("")), F.lit(fallback).cast("string"), sole)
+    known = F.coalesce(F.array_contains("names", wanted), F.lit(False))
+    return requests.join(F.broadcast(names)).select("request_id", F.when(known, wanted).alias("instance"), F.when(wanted.isNull(), "no instance").when(~known, F.concat(F.lit("unknown instance: "), wanted)).alias("error"))
+
+
+def issue_query(project: Column, issue_type: Column, words: Column) -> Column:
+    """The tracker's query for issues of a project, of a type by number or name, with some words; what looks like a key is
+    also looked for as one."""
+    quoted = lambda c: F.regexp_replace(c, r'(["\\\\])', r"\\$1")
+    kind, search = strip(F.coalesce(issue_type, F.lit(""))), strip(F.coalesce(words, F.lit("")))
+    by_type = F.when(kind == "", "").when(kind.rlike(r"^\d+$"), F.concat(F.lit(" AND issuetype = "), kind)).otherwise(F.concat(F.lit(' AND issuetype = "'), quoted(kind), F.lit('"')))
+    text = F.concat(F.lit('summary ~ "'), quoted(search), F.lit('*" OR text ~ "'), quoted(search), F.lit('*"'))
+    like_key = search.contains("-") & ~search.contains(" ")
+    by_words = F.when(search == "", "").otherwise(F.concat(F.lit(" AND ("), F.when(like_key, F.concat(F.lit('key = "'), quoted(search), F.lit('" OR '))).otherwise(""), text, F.lit(")")))
+    return F.concat(F.lit('project = "'), quoted(project), F.lit('"'), by_type, by_words, F.lit(" ORDER BY updated DESC"))
+
+
+def _last_part(c: Column) -> Column:
+    return F.element_at(F.split(c, "/"), -1)
+
+
+def media_keys(attachments: DataFrame, doc: str) -> DataFrame:
+    """``doc, probe, file``: all names by which a saved attachment may be meant. Of attachments of one name the last counts."""
+    names = F.array("attachment_id", "content", "thumbnail", "self", "filename", _last_part(F.col("file")))
+    rows = attachments.where("saved and coalesce(file, '') <> ''").select(doc, "file", F.col("position").alias("at"), F.explode(names).alias("name")).where("coalesce(name, '') <> ''")
+    each = rows.select(doc, "file", "at", F.explode(F.array("name", _last_part(F.col("name")))).alias("probe"))
+    return each.groupBy(doc, "probe").agg(F.max_by("file", "at").alias("file"))
+
+
+def rewritten_media(refs: DataFrame, attachments: DataFrame, doc: str) -> DataFrame:
+    """References (``doc, ref_no, target, alt, media_id``) with ``file``, the saved attachment each means, or null: by its
+    target, the target's last part, its text, then its media id."""
+    probes = F.array("target", _last_part(F.col("target")), "alt", "media_id")
+    rows = refs.select(doc, "ref_no", F.posexplode(probes).alias("priority", "probe")).where("coalesce(probe, '') <> ''")
+    hits = rows.join(media_keys(attachments, doc), [doc, "probe"]).groupBy(doc, "ref_no").agg(F.min_by("file", "priority").alias("file"))
+    return refs.join(hits, [doc, "ref_no"], "left")
+
+
+def attachment_blocks(attachments: DataFrame, shown: DataFrame, doc: str) -> DataFrame:
+    """``doc, position, kind, txt, src`` of the attachments section: an image not shown yet as an image, once; anything else
+    as a link. Attachments: ``doc, position, file, filename, mime_type``; shown: ``doc, src``."""
+    known = shown.select(doc, F.col("src").alias("file"), F.lit(True).alias("known")).distinct()
+    turn = F.row_number().over(Window.partitionBy(doc, "file").orderBy("position"))
+    rows = attachments.where("coalesce(file, '') <> ''").join(known, [doc, "file"], "left").withColumn("turn", turn)
+    name = F.coalesce("filename", _last_part(F.col("file")))
+    image = F.coalesce("mime_type", F.lit("")).startswith("image/") & F.col("known").isNull() & (F.col("turn") == 1)
+    return rows.select(doc, "position", F.when(image, "image").otherwise("paragraph").alias("kind"), F.when(image, name).otherwise(F.concat(F.lit("["), name, F.lit("]("), F.col("file"), F.lit(")"))).alias("txt"), F.when(image, F.col("file")).alias("src"))
