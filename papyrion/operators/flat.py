@@ -31,14 +31,25 @@ def markdown(kind: Column, level: Column, text: Column, src: Column) -> Column:
     )
 
 
-def html(kind: Column, level: Column, text: Column) -> Column:
+def html(kind: Column, level: Column, text: Column, src: Column | None = None) -> Column:
+    """One block without children as HTML; lists and tables from their lines, an image with its address."""
     words = escape_html(F.coalesce(text, F.lit("")))
     n = F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(level, F.lit(1)))).cast("int").cast("string")
+    lines = F.filter(F.split(words, "\n"), lambda x: F.trim(x) != "")
+    items = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<li>"), F.trim(F.regexp_replace(x, r"^\s*(?:[-*+]|\d+[.)])\s+", "")), F.lit("</li>"))), "")
+    tag = F.when(words.rlike(r"^\s*\d+[.)]\s"), "ol").otherwise("ul")
+    cells = lambda x: F.array_join(F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.concat(F.lit("<td>"), F.trim(c), F.lit("</td>"))), "")
+    rows = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<tr>"), cells(x), F.lit("</tr>"))), "")
+    address = F.coalesce(src, F.lit("")) if src is not None else F.lit("")
+    image = F.when(address != "", F.concat(F.lit('<img src="'), escape_html(address, quote=True), F.lit('" alt="'), escape_html(F.coalesce(text, F.lit("")), quote=True), F.lit('"/>'))).otherwise("")
     return (
         F.when(kind == "heading", F.concat(F.lit("<h"), n, F.lit(">"), words, F.lit("</h"), n, F.lit(">")))
         .when(kind == "paragraph", F.concat(F.lit("<p>"), words, F.lit("</p>")))
         .when(kind == "code_block", F.concat(F.lit("<pre><code>"), words, F.lit("</code></pre>")))
         .when(kind == "blockquote", F.concat(F.lit("<blockquote><p>"), words, F.lit("</p></blockquote>")))
+        .when(kind == "list", F.concat(F.lit("<"), tag, F.lit(">"), items, F.lit("</"), tag, F.lit(">")))
+        .when(kind == "table", F.concat(F.lit("<table>"), rows, F.lit("</table>")))
+        .when(kind == "image", image)
         .when(kind == "rule", "<hr/>")
         .otherwise("")
     )

@@ -25,7 +25,7 @@ def package_documents(packages: DataFrame, blocks: DataFrame, key: str) -> DataF
     src``. Repeated rows count once."""
     own = blocks.select(key, "block_no", "kind", "heading_level", "txt", "src").distinct()
     shown = flat.markdown(F.col("kind"), F.col("heading_level"), F.col("txt"), F.col("src"))
-    page = flat.html(F.col("kind"), F.col("heading_level"), F.col("txt"))
+    page = flat.html(F.col("kind"), F.col("heading_level"), F.col("txt"), F.col("src"))
     rows = own.select(key, F.struct("block_no", shown.alias("md"), page.alias("html"), F.struct("block_no", "kind", "heading_level", "txt", "src").alias("block")).alias("b"), F.when(F.col("kind") == "image", F.col("src")).alias("image"))
     parts = rows.groupBy(key).agg(F.array_sort(F.collect_list("b")).alias("bs"), F.array_sort(F.collect_set("image")).alias("images"))
     joined = lambda field, gap: F.array_join(F.filter(F.col(f"bs.{field}"), lambda x: x != ""), gap)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrion.plans import packages, problems, tables, texts
+from papyrion.plans import functions, packages, problems, tables, texts
 
-QUERIES = {**texts.QUERIES, **tables.QUERIES, **packages.QUERIES, **problems.QUERIES}
-ORACLE = {**texts.ORACLE, **tables.ORACLE, **packages.ORACLE, **problems.ORACLE}
+QUERIES = {**texts.QUERIES, **tables.QUERIES, **packages.QUERIES, **functions.QUERIES, **problems.QUERIES}
+ORACLE = {**texts.ORACLE, **tables.ORACLE, **packages.ORACLE, **functions.ORACLE, **problems.ORACLE}

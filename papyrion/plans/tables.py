@@ -171,21 +171,13 @@ def state_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return R.upsert(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
-@query("""WITH st AS (SELECT DISTINCT space_key AS space, lang, source_format AS fmt, package_id AS page FROM packages WHERE package_id % 5 = 0 AND space_key IS NOT NULL AND lang IS NOT NULL AND source_format IS NOT NULL),
+@query("""WITH st AS (SELECT DISTINCT space_key AS space, lang, source_format AS fmt, package_id AS page FROM packages WHERE space_key IS NOT NULL AND lang IS NOT NULL AND source_format IS NOT NULL),
 rq AS (SELECT DISTINCT package_id AS request_id, space_key AS space, lang, source_format AS fmt FROM packages),
 a AS (SELECT space, lang, fmt, min(page) AS v FROM st GROUP BY ALL HAVING count(*) = 1), b AS (SELECT space, lang, min(page) AS v FROM st GROUP BY ALL HAVING count(*) = 1), c AS (SELECT space, min(page) AS v FROM st GROUP BY ALL HAVING count(*) = 1)
 SELECT request_id, coalesce(a.v, b.v, c.v) AS value, CASE WHEN a.v IS NOT NULL THEN 0 WHEN b.v IS NOT NULL THEN 1 WHEN c.v IS NOT NULL THEN 2 END AS level FROM rq LEFT JOIN a USING (space, lang, fmt) LEFT JOIN b USING (space, lang) LEFT JOIN c USING (space)""")
 def state_cascade(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "packages").select("package_id", F.col("space_key").alias("space"), "lang", F.col("source_format").alias("fmt")).distinct()
-    state = rows.where("package_id % 5 = 0").dropna().withColumnRenamed("package_id", "page")
-    return R.cascade(rows.withColumnRenamed("package_id", "request_id"), state, "request_id", [["space", "lang", "fmt"], ["space", "lang"], ["space"]], "page")
-
-
-@query()
-def state_cascade_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``state_cascade``, whose SQL takes a fifth of the packages as the state, with all of them."""
-    rows = table(spark, folder, "packages").select("package_id", F.col("space_key").alias("space"), "lang", F.col("source_format").alias("fmt")).distinct()
-    state = rows.dropna().withColumnRenamed("package_id", "page")
+    state = rows.dropna().withColumnRenamed("package_id", "page")  # a state entry has all three
     return R.cascade(rows.withColumnRenamed("package_id", "request_id"), state, "request_id", [["space", "lang", "fmt"], ["space", "lang"], ["space"]], "page")
 
 
@@ -242,12 +234,16 @@ def package_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return flat.documents(table(spark, folder, "blocks"), "package_id", "block_no")
 
 
-@query("""WITH b AS (SELECT DISTINCT package_id, block_no, kind, heading_level, txt FROM blocks WHERE kind IN ('heading', 'paragraph', 'code_block')),
-e AS (SELECT *, replace(replace(replace(coalesce(txt, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t, CAST(greatest(1, least(6, coalesce(heading_level, 1))) AS VARCHAR) AS l FROM b)
-SELECT package_id, block_no, CASE kind WHEN 'heading' THEN '<h' || l || '>' || t || '</h' || l || '>' WHEN 'paragraph' THEN '<p>' || t || '</p>' ELSE '<pre><code>' || t || '</code></pre>' END AS html FROM e""")
+@query(r"""WITH b AS (SELECT DISTINCT package_id, block_no, kind, heading_level, txt, src FROM blocks),
+e AS (SELECT *, replace(replace(replace(coalesce(txt, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t, CAST(greatest(1, least(6, coalesce(heading_level, 1))) AS VARCHAR) AS l, replace(replace(replace(coalesce(src, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS s FROM b),
+x AS (SELECT *, list_filter(string_split(t, chr(10)), lambda y: trim(y) <> '') AS ls, CASE WHEN regexp_matches(t, '^\s*\d+[.)]\s') THEN 'ol' ELSE 'ul' END AS tag FROM e)
+SELECT package_id, block_no, CASE kind WHEN 'heading' THEN '<h' || l || '>' || t || '</h' || l || '>' WHEN 'paragraph' THEN '<p>' || t || '</p>' WHEN 'code_block' THEN '<pre><code>' || t || '</code></pre>' WHEN 'blockquote' THEN '<blockquote><p>' || t || '</p></blockquote>' WHEN 'rule' THEN '<hr/>'
+WHEN 'list' THEN '<' || tag || '>' || array_to_string(list_transform(ls, lambda y: '<li>' || trim(regexp_replace(y, '^\s*(?:[-*+]|\d+[.)])\s+', '')) || '</li>'), '') || '</' || tag || '>'
+WHEN 'table' THEN '<table>' || array_to_string(list_transform(ls, lambda y: '<tr>' || array_to_string(list_transform(string_split(regexp_replace(trim(y), '^\||\|$', '', 'g'), '|'), lambda c: '<td>' || trim(c) || '</td>'), '') || '</tr>'), '') || '</table>'
+WHEN 'image' THEN CASE WHEN s <> '' THEN '<img src="' || replace(replace(s, '"', '&quot;'), chr(39), '&#x27;') || '" alt="' || replace(replace(t, '"', '&quot;'), chr(39), '&#x27;') || '"/>' ELSE '' END ELSE '' END AS html FROM x""")
 def block_html(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "blocks").where("kind in ('heading', 'paragraph', 'code_block')").select("package_id", "block_no", "kind", "heading_level", "txt").distinct()
-    return rows.select("package_id", "block_no", flat.html(F.col("kind"), F.col("heading_level"), F.col("txt")).alias("html"))
+    rows = table(spark, folder, "blocks").select("package_id", "block_no", "kind", "heading_level", "txt", "src").distinct()
+    return rows.select("package_id", "block_no", flat.html(F.col("kind"), F.col("heading_level"), F.col("txt"), F.col("src")).alias("html"))
 
 
 @query(r"""WITH b AS (SELECT DISTINCT package_id, block_no, txt FROM blocks WHERE kind = 'table' AND txt IS NOT NULL), l AS (SELECT package_id, block_no, unnest(string_split(txt, chr(10))) AS line FROM b)
@@ -267,14 +263,20 @@ def table_markdown_region(spark: SparkSession, folder: str) -> DataFrame:
     return flat.markdown_table(table(spark, folder, "region"), ["r_regionkey", "r_name"], ["r_regionkey"])
 
 
-@query("""WITH h AS (SELECT DISTINCT package_id, block_no, CAST(heading_level AS INTEGER) AS level FROM blocks WHERE kind = 'heading' AND heading_level BETWEEN 1 AND 3),
-a AS (SELECT *, sum(CASE WHEN level < 2 THEN 1 ELSE 0 END) OVER w AS u2, sum(CASE WHEN level < 3 THEN 1 ELSE 0 END) OVER w AS u3 FROM h WINDOW w AS (PARTITION BY package_id ORDER BY block_no)),
-f AS (SELECT *, first_value(level) OVER (PARTITION BY package_id ORDER BY block_no) AS f1, arg_min(level, block_no) FILTER (WHERE level >= 2) OVER (PARTITION BY package_id, u2 ORDER BY block_no) AS f2, arg_min(level, block_no) FILTER (WHERE level >= 3) OVER (PARTITION BY package_id, u3 ORDER BY block_no) AS f3,
- sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY package_id ORDER BY block_no) AS c1, sum(CASE WHEN level = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY package_id, u2 ORDER BY block_no) AS c2, sum(CASE WHEN level = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY package_id, u3 ORDER BY block_no) AS c3 FROM a)
-SELECT package_id, block_no, level, CAST(c1 + CASE WHEN f1 > 1 THEN 1 ELSE 0 END AS VARCHAR) || CASE WHEN level >= 2 THEN '.' || CAST(c2 + CASE WHEN f2 > 2 THEN 1 ELSE 0 END AS VARCHAR) ELSE '' END || CASE WHEN level >= 3 THEN '.' || CAST(c3 + CASE WHEN f3 > 3 THEN 1 ELSE 0 END AS VARCHAR) ELSE '' END AS number FROM f""")
+def _heading_numbers_sql(deepest: int) -> str:
+    """For each level: how many higher ones came before (``u``), the first as deep since then (``f``), its count (``c``)."""
+    levels = range(1, deepest + 1)
+    above = ", ".join(f"sum(CASE WHEN level < {k} THEN 1 ELSE 0 END) OVER w AS u{k}" for k in levels)
+    first = ", ".join(f"arg_min(level, block_no) FILTER (WHERE level >= {k}) OVER (PARTITION BY package_id, u{k} ORDER BY block_no) AS f{k}, sum(CASE WHEN level = {k} THEN 1 ELSE 0 END) OVER (PARTITION BY package_id, u{k} ORDER BY block_no) AS c{k}" for k in levels)
+    shown = ", ".join(f"CASE WHEN level >= {k} THEN CAST(c{k} + CASE WHEN f{k} > {k} THEN 1 ELSE 0 END AS VARCHAR) END" for k in levels)
+    return f"""WITH h AS (SELECT DISTINCT package_id, block_no, CAST(coalesce(heading_level, 1) AS INTEGER) AS level FROM blocks WHERE kind = 'heading'),
+a AS (SELECT *, {above} FROM h WINDOW w AS (PARTITION BY package_id ORDER BY block_no)), f AS (SELECT *, {first} FROM a) SELECT package_id, block_no, level, concat_ws('.', {shown}) AS number FROM f"""
+
+
+@query(_heading_numbers_sql(6))
 def heading_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    heads = table(spark, folder, "blocks").where("kind = 'heading' and heading_level between 1 and 3").select("package_id", "block_no", F.col("heading_level").alias("level")).distinct()
-    return R.heading_numbers(heads, ["package_id"], "block_no", "level", 3)
+    heads = table(spark, folder, "blocks").where("kind = 'heading'").select("package_id", "block_no", F.coalesce("heading_level", F.lit(1)).alias("level")).distinct()
+    return R.heading_numbers(heads, ["package_id"], "block_no", "level", 6)
 
 
 @query("""WITH h AS (SELECT DISTINCT package_id, block_no, length(txt) AS indent FROM blocks WHERE kind = 'heading') SELECT package_id, block_no, CAST(least(6, dense_rank() OVER (PARTITION BY package_id ORDER BY indent)) AS INTEGER) AS level FROM h""")

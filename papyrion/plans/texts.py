@@ -123,10 +123,10 @@ def document_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(r"""SELECT DISTINCT package_id, lower(regexp_extract(original_path, '\.([^./\\]+)$', 1)) AS ext,
 coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(original_path, '([^/]*)$', 1), '(.)\.[^.]*$', '\1'), '[^A-Za-z0-9._ -]+', '_', 'g'), '^[ ._]+|[ ._]+$', '', 'g'), ''), 'document') || '__' || lower(regexp_extract(original_path, '\.([^./\\]+)$', 1)) AS package_dir
-FROM packages WHERE lower(regexp_extract(original_path, '\.([^./\\]+)$', 1)) IN ('docx', 'pdf', 'md', 'csv', 'xlsx')""")
+FROM packages WHERE lower(regexp_extract(original_path, '\.([^./\\]+)$', 1)) IN ('doc', 'docx', 'docm', 'pdf', 'ppt', 'pptx', 'pptm', 'odp', 'xls', 'xlsx', 'xlsm', 'ods', 'odt', 'rtf', 'txt', 'csv', 'html', 'htm', 'md', 'markdown')""")
 def discovered_files(spark: SparkSession, folder: str) -> DataFrame:
     path = F.col("original_path")
-    return table(spark, folder, "packages").where(S.supported(path, ["docx", "PDF", ".md", "csv", "xlsx"])).select("package_id", S.extension(path).alias("ext"), S.package_name(path).alias("package_dir")).distinct()
+    return table(spark, folder, "packages").where(S.supported(path)).select("package_id", S.extension(path).alias("ext"), S.package_name(path).alias("package_dir")).distinct()
 
 
 GENERIC = "('untitled','document','document1','document 1','microsoft word','microsoft word document','powerpoint presentation','presentation','presentation1','presentation 1','adobe acrobat')"
@@ -162,23 +162,19 @@ def _roman_sql(n: str) -> str:
     return " || ".join(parts)
 
 
-@query(f"""SELECT DISTINCT n, {_roman_sql("n")} AS roman, CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INTEGER)) WHEN n <= 702 THEN chr(CAST(65 + (n - 27) // 26 AS INTEGER)) || chr(CAST(65 + (n - 27) % 26 AS INTEGER)) ELSE chr(CAST(65 + (n - 703) // 676 AS INTEGER)) || chr(CAST(65 + (n - 703) // 26 % 26 AS INTEGER)) || chr(CAST(65 + (n - 703) % 26 AS INTEGER)) END AS letters
-FROM (SELECT l_partkey AS n FROM lineitem WHERE l_partkey BETWEEN 1 AND 3999)""")
-def numerals(spark: SparkSession, folder: str) -> DataFrame:
-    n = F.col("n")
-    rows = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("n")).where("n between 1 and 3999").distinct()
-    return rows.select("n", S.numeral(n, F.lit("upperRoman")).alias("roman"), S.numeral(n, F.lit("upperLetter")).alias("letters"))
+def _letters_sql(n: str) -> str:
+    """Letters count without zero; each place starts at the first number that has it."""
+    starts = [(26 ** (place + 1) - 26) // 25 + 1 for place in range(13)]
+    return " || ".join(f"CASE WHEN {n} >= {start} THEN chr(CAST(65 + (({n} - {start}) // {26**place}) % 26 AS INTEGER)) ELSE '' END" for place, start in reversed(list(enumerate(starts))))
 
 
-@query()
-def numerals_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``numerals``, whose SQL stops at 3999, for all part keys."""
+@query(f"""SELECT DISTINCT n, CASE WHEN n > 0 THEN {_roman_sql("n")} ELSE CAST(n AS VARCHAR) END AS roman, CASE WHEN n > 0 THEN {_letters_sql("n")} ELSE CAST(n AS VARCHAR) END AS letters FROM (SELECT l_partkey AS n FROM lineitem WHERE l_partkey IS NOT NULL)""")
+def numerals(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("n")
     rows = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("n")).where("n is not null").distinct()
     return rows.select("n", S.numeral(n, F.lit("upperRoman")).alias("roman"), S.numeral(n, F.lit("upperLetter")).alias("letters"))
 
 
-
 @query("""SELECT p_partkey, CAST(greatest(1, round_even(p_retailprice * 100 / 9525, 0)) AS INTEGER) AS emu_px, CAST(greatest(1, round_even(p_size * 96.0 / 72, 0)) AS INTEGER) AS pt_px FROM part""")
 def drawing_units(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", S.emu_to_px(F.col("p_retailprice") * 100).alias("emu_px"), S.pt_to_px(F.col("p_size")).alias("pt_px"))
@@ -191,10 +187,12 @@ def page_links(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("package_id", "block_no", (F.col("i") + 1).alias("link_no"), "href", S.absolute_reference(F.col("href")).alias("absolute"))
 
 
-@query(r"""WITH l AS (SELECT DISTINCT package_id, unnest(regexp_extract_all(txt, '\]\(/([^)\s/]+)\)', 1)) AS target FROM web_blocks), k AS (SELECT DISTINCT regexp_extract(source_url, '^https?://[^/]+/([^/]+)', 1) AS target FROM web_blocks WHERE source_url IS NOT NULL)
-SELECT package_id, target FROM l WHERE target NOT IN (SELECT target FROM k)""")
+@query(r"""WITH l AS (SELECT DISTINCT package_id, regexp_replace(unnest(regexp_extract_all(txt, '\]\((/[^)\s]+)\)', 1)), '[?#].*$|/+$', '') AS target FROM web_blocks), k AS (SELECT regexp_extract(source_url, '^https?://[^/]+(/[^?#]*)', 1) AS target FROM web_blocks WHERE source_url IS NOT NULL UNION SELECT regexp_extract(source_url, '^https?://[^/]+(/[^/?#]+)', 1) FROM web_blocks WHERE source_url IS NOT NULL)
+SELECT DISTINCT package_id, target FROM l WHERE target <> '' AND target NOT IN (SELECT target FROM k)""")
 def broken_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links within the site to no known page, by its whole path or the part of it that names the page."""
     pages = table(spark, folder, "web_blocks")
-    targets = pages.select("package_id", F.explode(F.regexp_extract_all("txt", F.lit(r"\]\(/([^)\s/]+)\)"), 1)).alias("target")).distinct()
-    known = pages.where("source_url is not null").select(F.regexp_extract("source_url", r"^https?://[^/]+/([^/]+)", 1).alias("target")).distinct()
+    targets = pages.select("package_id", F.explode(F.regexp_extract_all("txt", F.lit(r"\]\((/[^)\s]+)\)"), 1)).alias("href")).select("package_id", F.regexp_replace("href", r"[?#].*$|/+$", "").alias("target")).where("target <> ''").distinct()
+    paths = F.array(F.regexp_extract("source_url", r"^https?://[^/]+(/[^?#]*)", 1), F.regexp_extract("source_url", r"^https?://[^/]+(/[^/?#]+)", 1))
+    known = pages.where("source_url is not null").select(F.explode(paths).alias("target")).distinct()
     return targets.join(known, "target", "left_anti").select("package_id", "target")

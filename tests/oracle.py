@@ -2,15 +2,12 @@
 
 from pathlib import Path
 
-import pytest
+import duckdb
 
 DATA = Path("/root/testdata/sf0.001")
 
 
 def connect():
-    duckdb = pytest.importorskip("duckdb")
-    if not DATA.exists():
-        pytest.skip("no test tables")
     con = duckdb.connect()
     con.execute("SET timezone='UTC'")
     for f in DATA.glob("*.parquet"):

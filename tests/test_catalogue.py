@@ -3,15 +3,12 @@ import pytest
 
 from papyrion.plans import catalogue
 
-SLOW = {"p4_paths", "p4_descendants", "p4_loops"}  # the same tree as p4_found, walked again
-
-
 @pytest.fixture(scope="module")
 def con():
     return oracle.connect()
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
 def test_against_sql(spark, con, name):
     oracle.same(spark, con, catalogue.QUERIES[name], catalogue.ORACLE[name])
 
