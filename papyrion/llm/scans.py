@@ -55,6 +55,7 @@ PURE = re.compile(rf"^[\[(\-—–\s]*(?:(?:{PAGE_WORDS})[.:]?\s*)?({NUM})(?:\s*
 ROMAN = re.compile(r"^[\[(\-—–\s]*([ivxlcIVXLC|1!]{1,8})[\])\-—–\s.]*$")
 AFTER = re.compile(rf"^(.*[^\W\d_].*?)(?:\s{{2,}}|\s*[|·]\s*)({NUM})\s*$")
 BEFORE = re.compile(rf"^\s*({NUM})(?:\s{{2,}}|\s*[|·]\s*)(.*[^\W\d_].*)$")
+GAP = re.compile(r"\s\s|[|·]")  # without one, no number is set apart from a text
 BODY_START = re.compile(r"^\s*(?:#|\||[-*+]\s|\d+[.)]\s)")
 
 
@@ -121,9 +122,8 @@ class Asking:
         return possible | {low} if any(self.bound(r) >= least for r in possible) else set()
 
 
-def asked(pages: list[tuple[int, list[str]]], asking: Asking) -> set[int]:
-    """Keys of all words whose counts ``repair`` may need for these pages."""
-    marks = furniture(pages)
+def asked(pages: list[tuple[int, list[str]]], asking: Asking, marks: set[tuple[int, int]]) -> set[int]:
+    """Keys of all words whose counts ``repair`` may need for these pages, whose furniture is marked."""
     lines = [text for p, (_, own) in enumerate(pages) for i, text in enumerate(own) if text.strip() and (p, i) not in marks]
     following = [x.split()[0] for x in lines[1:]]
     halves = [(half, rest) for text, rest in zip(lines, following, strict=False) if (half := broken_end(text))]
@@ -226,10 +226,11 @@ def edge_of(page: int, line: int, top: bool, depth: int, text: str) -> Edge:
     elif e.pure and (m := ROMAN.match(stripped)):
         e.numbers += (roman(m.group(1)) or -1,)
     if not e.pure:
-        if m := AFTER.match(stripped):
+        parted = GAP.search(stripped) is not None
+        if m := parted and AFTER.match(stripped):
             n = number(m.group(2))
             e.bare, e.numbers = skeleton(m.group(1)), (n,) if n is not None else ()
-        elif m := BEFORE.match(stripped):
+        elif m := parted and BEFORE.match(stripped):
             n = number(m.group(1))
             e.bare, e.numbers = skeleton(m.group(2)), (n,) if n is not None else ()
         else:
@@ -513,10 +514,10 @@ class Line:
     joined: bool = field(default=False)
 
 
-def repair(pages: list[tuple[int, list[str]]], counts: Counts) -> list[Line]:
+def repair(pages: list[tuple[int, list[str]]], counts: Counts, marks: set[tuple[int, int]] | None = None) -> list[Line]:
     """All lines of consecutive pages, with their noise and their repaired text; where ``joined``, the next line that
     is no furniture and not blank goes on with the same word."""
-    marks = furniture(pages)
+    marks = furniture(pages) if marks is None else marks
     lines = [Line(no, i + 1, text, (p, i) in marks) for p, (no, own) in enumerate(pages) for i, text in enumerate(own)]
     body = [x for x in lines if not x.furniture and x.text.strip()]
     carried = ""
@@ -637,18 +638,18 @@ def _signed(keys) -> np.ndarray:
     return np.array(list(keys), np.uint64).view(np.int64)
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, list[str]]], dict[int, int]]]:
-    """Documents one after the other: key, pages in order, and the counts that came along. Rows are ``doc, page, text``
-    and, where there are counts, ``keys, ns`` on rows without page, which come first."""
-    current, own, exact = None, [], {}
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, list[str]]], list[tuple[int, int]]]]:
+    """Documents one after the other: key, pages in order, and what came along: keys with counts, or -1 where the key is
+    a line of furniture. Rows are ``doc, page, text`` and, beside them, ``key, n`` on rows without page, which come first."""
+    current, own, exact = None, [], []
     for batch in batches:
         for d, p, t, *more in rows_of(batch):
             if d != current:
                 if own:
                     yield current, own, exact
-                current, own, exact = d, [], {}
+                current, own, exact = d, [], []
             if p is None:
-                exact[more[0]] = more[1]
+                exact.append((more[0], more[1]))
             else:
                 own.append((p, t.split("\n")))
     if own:
@@ -664,17 +665,21 @@ def _documents(df: DataFrame, doc: str, page: str, text: str, schema: str, make)
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asking = Asking(opened(shared.value))
         for d, own, _ in _whole(batches):
-            keys = _signed(asked(own, asking))
-            yield arrow({"doc": (np.full(len(keys), d, np.int64), pa.int64()), "key": (keys, pa.int64())})
+            marks = furniture(own)
+            keys = np.concatenate([_signed(asked(own, asking, marks)), np.array([p << 32 | i for p, i in marks], np.int64)])
+            yield arrow({"doc": (np.full(len(keys), d, np.int64), pa.int64()), "key": (keys, pa.int64()), "mark": (np.arange(len(keys)) >= len(keys) - len(marks), pa.bool_())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
         for d, own, exact in _whole(batches):
-            counts.exact = {k & 0xFFFFFFFFFFFFFFFF: n for k, n in exact.items()}
-            yield from make(d, own, counts)
-
-    wanted = pages.repartition("doc").sortWithinPartitions("doc", "page").mapInArrow(ask, "doc long, key long")
-    known = wanted.join(word_counts(texts), "key").select("doc", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text"), "key", "n")
+            marks = {(k >> 32, k & 0xFFFFFFFF) for k, n in exact if n < 0}
+            counts.exact = {k & 0xFFFFFFFFFFFFFFFF: n for k, n in exact if n > 0}
+            yield from make(d, own, counts, marks)
+
+    wanted = store(pages.repartition("doc").sortWithinPartitions("doc", "page").mapInArrow(ask, "doc long, key long, mark boolean"), "wanted")
+    counted = wanted.where("not mark").join(word_counts(texts), "key").select("doc", "key", "n")
+    beside = counted.unionByName(wanted.where("mark").select("doc", "key", F.lit(-1).cast("long").alias("n")))
+    known = beside.select("doc", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text"), "key", "n")
     rows = pages.select("doc", "page", "text", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("n")).unionByName(known)
     return rows.repartition("doc").sortWithinPartitions("doc", F.col("page").asc_nulls_first()).mapInArrow(run, schema)
 
@@ -683,9 +688,9 @@ def noise(df: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     """``doc, page, line_no, noise``: furniture, or else hyphen and char, of each line. Null keys and texts give no
     rows, and so do empty texts; rows repeated count once, of different texts of one page the greatest counts."""
 
-    def make(key: int, own: list, counts: Counts) -> Iterator[pa.RecordBatch]:
+    def make(key: int, own: list, counts: Counts, marks: set) -> Iterator[pa.RecordBatch]:
         out = []
-        for x in repair(own, counts):
+        for x in repair(own, counts, marks):
             out += [(x.page, x.line, n) for n, on in (("furniture", x.furniture), ("hyphen", x.hyphen), ("char", x.char)) if on]
         yield arrow({"doc": ([key] * len(out), pa.int64()), "page": ([p for p, *_ in out], pa.int32()), "line_no": ([i for _, i, _ in out], pa.int32()), "noise": ([n for *_, n in out], pa.string())})
 
@@ -696,8 +701,8 @@ def readable(df: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     """``doc, first_page, paragraph_no, paragraph`` in order, numbered over all pages of the document, the first of which
     is ``first_page``."""
 
-    def make(key: int, own: list, counts: Counts) -> Iterator[pa.RecordBatch]:
-        found = paragraphs(repair(own, counts))
+    def make(key: int, own: list, counts: Counts, marks: set) -> Iterator[pa.RecordBatch]:
+        found = paragraphs(repair(own, counts, marks))
         n = len(found)
         yield arrow({"doc": ([key] * n, pa.int64()), "first_page": ([own[0][0]] * n, pa.int32()), "paragraph_no": (list(range(1, n + 1)), pa.int32()), "paragraph": (found, pa.string())})
 
