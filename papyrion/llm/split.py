@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.text import WORD, arrow, rows_of
+from papyrion.llm.text import arrow, rows_of, worker_words
 
 SIZE, OVERLAP = 1600, 150
 #: Words in a block on each side of a boundary, and how much of a window a cut should leave filled at least.
@@ -74,17 +74,27 @@ def boundaries(text: str) -> dict[int, int]:
     return found
 
 
+def similarities(text: str, offsets: list[int], block: int = BLOCK_WORDS) -> list[float]:
+    """The cosine of the words of the blocks before and after each offset. Words of up to two letters don't count. The
+    products of counts are numbers of equal pairs, so many blocks are compared at once."""
+    hashes, starts, chars = worker_words().placed(text)
+    _, ids = np.unique(hashes, return_inverse=True)
+    ids = np.where(chars > 2, ids.astype(np.int32) + 1, 0)
+    padded = np.concatenate([np.zeros(block, np.int32), ids, np.zeros(block, np.int32)])
+    at = np.searchsorted(starts, np.array(offsets, np.int64)) + block
+    around = np.lib.stride_tricks.sliding_window_view(padded, block)
+    out: list[float] = []
+    for k in range(0, len(at), 128):
+        a, b = around[at[k : k + 128] - block], around[at[k : k + 128]]
+        pairs = [((x[:, :, None] == y[:, None, :]) & (x[:, :, None] > 0)).sum(axis=(1, 2)) for x, y in ((a, b), (a, a), (b, b))]
+        norm = np.sqrt(pairs[1].astype(np.float64) * pairs[2])
+        out += np.divide(pairs[0], norm, out=np.zeros(len(norm)), where=norm > 0).tolist()
+    return out
+
+
 def depths(text: str, offsets: list[int], block: int = BLOCK_WORDS) -> list[float]:
     """How deep a valley of similarity each offset is: the peaks left and right of it above its own similarity."""
-    spans = [(m.start(), m.group().lower()) for m in WORD.finditer(text)]
-    places = [p for p, _ in spans]
-    similar: list[float] = []
-    for o in offsets:
-        i = bisect_left(places, o)
-        a = Counter(w for _, w in spans[max(0, i - block) : i] if len(w) > 2)
-        b = Counter(w for _, w in spans[i : i + block] if len(w) > 2)
-        norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
-        similar.append(sum(v * b[w] for w, v in a.items() if w in b) / norm if norm else 0.0)
+    similar = similarities(text, offsets, block)
     n = len(similar)
     left, right = similar[:], similar[:]
     for i in range(1, n):  # climb while the similarity rises
@@ -94,6 +104,14 @@ def depths(text: str, offsets: list[int], block: int = BLOCK_WORDS) -> list[floa
     return [left[i] + right[i] - 2 * similar[i] for i in range(n)]
 
 
+def blank_end(text: str, low: int, high: int) -> int:
+    """The last place after ``low`` and up to ``high`` where white space ends, 0 if there is none."""
+    for end in range(high, low, -1):
+        if text[end - 1].isspace() and (end == len(text) or not text[end].isspace()):
+            return end
+    return 0
+
+
 def limits(size: int | None, overlap: int | None) -> tuple[int, int]:
     """Size and overlap in use: null or less than one means the default; an overlap of the size or more, with which no
     piece would advance, is the size less one."""
@@ -115,7 +133,6 @@ def pieces(text: str, size: int | None, overlap: int | None) -> list[tuple[int,
     ranks = boundaries(text)
     offsets = sorted(ranks)
     deep = depths(text, offsets)
-    blanks = [m.end() for m in re.finditer(r"\s+", text)]
     names = {SECTION: "section", PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence"}
     out, start, lap = [], 0, 0
     while n - start > size:
@@ -123,17 +140,17 @@ def pieces(text: str, size: int | None, overlap: int | None) -> list[tuple[int,
         after = start + max(lap + 1, overlap)
         last, first = start + size, max(after, start + lap + max(1, int((size - lap) * FILLED)))
         i, j = bisect_left(offsets, first), bisect_right(offsets, last)
-        k = bisect_right(blanks, last) - 1
-        spaced = k >= 0 and blanks[k] >= after
+        blank = 0
         if i == j:  # nothing in the fuller half: anything that leaves enough, or rather a short piece than a cut word
+            blank = blank_end(text, start + lap, last)
             i = bisect_left(offsets, after)
-            if i >= j and not spaced:
+            if i >= j and blank < after:
                 i = bisect_right(offsets, start + lap)
         if i < j:
             best = max(range(i, j), key=lambda k: (deep[k] + BONUS[ranks[offsets[k]]], offsets[k]))
             end, how = offsets[best], names[ranks[offsets[best]]]
-        elif k >= 0 and blanks[k] > start + lap:
-            end, how = blanks[k], "blank"
+        elif blank:
+            end, how = blank, "blank"
         else:
             end, how = last, "character"
         out.append((start, end, lap, how))

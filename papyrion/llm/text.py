@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,25 @@ class Words:
         return hashes, lengths, ends - starts, n[ends] - n[starts]
 
 
+    def placed(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, start, characters) of the words of one text."""
+        if self.SPECIAL.search(text):
+            found = [(m.start(), m.group().lower()) for m in WORD.finditer(text)]
+            hashes = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for _, w in found], np.uint64)
+            return hashes, np.array([at for at, _ in found], np.int64), np.array([len(w) for _, w in found], np.int64)
+        member, codes = self._tables(code_points(text))
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], member, [False]]).view(np.int8)))
+        starts, ends = edges[::2], edges[1::2]
+        sums = prefix_sums(codes, self.powers)
+        return mixed((sums[ends] - sums[starts]) * self.powers.down[starts]), starts, ends - starts
+
+
+@lru_cache(maxsize=1)
+def worker_words() -> Words:
+    """The ``Words`` of this process: its tables are made once."""
+    return Words()
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered."""
 
