@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from papyrion.functions import scalars as S
 from papyrion.operators import chunks as C
-from papyrion.operators import flat, issues, outline
+from papyrion.operators import assets, flat, issues, outline
 from papyrion.operators import publishing as P
-from papyrion.plans.tables import FLAT
+from papyrion.operators import relations as R
+from papyrion.plans.tables import FLAT, FREE, PLAN, publish_tables
 from papyrion.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -306,3 +307,22 @@ def headings_numbered(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def chunks_of_packages(spark: SparkSession, folder: str) -> DataFrame:
     return C.chunk(_documents(spark, folder), "publication_markdown", ["package_id"]).select("package_id", "chunk_id", F.array_join("heading_path", " > ").alias("heading_path"), "content")
+
+
+@query(PLAN + FREE + """ SELECT request_id, CASE WHEN c = 1 THEN title ELSE title || ' (' || c || ')' END AS title, 'create' AS action, CAST(NULL AS VARCHAR) AS page_id, CAST(NULL AS VARCHAR) AS reason FROM f""")
+def publish_plan_add(spark: SparkSession, folder: str) -> DataFrame:
+    """What publishing would do that always adds pages, under free titles."""
+    rows = R.publish_plan(*publish_tables(spark, folder), "add")
+    return rows.select("request_id", "title", "action", "page_id", F.when(F.col("action") == "error", F.col("reason")).alias("reason"))
+
+
+IMAGES = """WITH b AS (SELECT DISTINCT package_id, block_no, src FROM blocks WHERE kind = 'image' AND src IS NOT NULL AND package_id IN (SELECT package_id FROM packages)), f AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY first_at, src) AS k FROM (SELECT package_id, src, min(block_no) AS first_at FROM b GROUP BY ALL))"""
+
+
+@query(IMAGES + r""" SELECT package_id, CAST(row_number() OVER (PARTITION BY package_id ORDER BY block_no) AS INTEGER) AS ref_no, 'assets/image_' || CASE WHEN k < 1000 THEN lpad(CAST(k AS VARCHAR), 3, '0') ELSE CAST(k AS VARCHAR) END || regexp_extract(src, '(\.[^./]+)$', 1) AS target FROM b JOIN f USING (package_id, src)""")
+def images_packaged(spark: SparkSession, folder: str) -> DataFrame:
+    """The images that each package's text shows once its files are named anew and its references rewritten."""
+    named = R.first_seen_names(table(spark, folder, "blocks").where("kind = 'image'"), ["package_id"], "src", "block_no", "assets/image", F.regexp_extract("src", r"(\.[^./]+)$", 1))
+    pairs = named.groupBy("package_id").agg(F.collect_list(F.struct(F.col("src").alias("target"), F.col("name").alias("file"))).alias("pairs"))
+    texts = _documents(spark, folder).join(pairs, "package_id").select("package_id", assets.rewritten(F.col("publication_markdown"), F.col("pairs")).alias("text"))
+    return assets.references(texts, "text", ["package_id"]).select("package_id", "ref_no", "target")

@@ -144,7 +144,7 @@ q AS (SELECT DISTINCT package_id AS request_id, space_key AS space, title FROM p
 s AS (SELECT space, lower(title) AS key, count(*) AS n, min(page_id) AS titled FROM r GROUP BY ALL)"""
 
 
-def _publish_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def publish_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     pages = hierarchy.latest_rows(table(spark, folder, "page_tree"), "page_id", "parent_id", "version_no", ("space_key", "title"))
     remote = pages.select(F.col("keep_space_key").alias("space"), F.col("node").alias("page_id"), F.col("keep_title").alias("title"))
     requests = table(spark, folder, "packages").where("title is not null").select(F.col("package_id").alias("request_id"), F.col("space_key").alias("space"), "title", F.lit(None).cast("string").alias("known_page")).distinct()
@@ -153,15 +153,17 @@ def _publish_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
 
 @query(PLAN + """ SELECT request_id, q.title, CASE WHEN n IS NULL THEN 'create' WHEN n = 1 THEN 'update' ELSE 'error' END AS action, CASE WHEN n = 1 THEN titled END AS page_id, CASE WHEN n > 1 THEN 'several pages of this title' END AS reason FROM q LEFT JOIN s ON s.space = q.space AND s.key = lower(q.title)""")
 def publish_plan(spark: SparkSession, folder: str) -> DataFrame:
-    requests, remote = _publish_tables(spark, folder)
+    requests, remote = publish_tables(spark, folder)
     return R.publish_plan(requests, remote, "replace")
 
 
-@query(PLAN + r""", t AS (SELECT DISTINCT space, regexp_extract(lower(title), '^(.*?)(?: \((\d+)\))?$', 1) AS key, coalesce(TRY_CAST(regexp_extract(lower(title), '^(.*?)(?: \((\d+)\))?$', 2) AS INTEGER), 1) AS no FROM r),
-f AS (SELECT q.request_id, q.title, (SELECT min(c) FROM range(1, 10000) x(c) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.space = q.space AND t.key = lower(q.title) AND t.no = c)) AS c FROM q)
-SELECT request_id, CASE WHEN c = 1 THEN title ELSE title || ' (' || c || ')' END AS free_title FROM f""")
+FREE = r""", t AS (SELECT DISTINCT space, regexp_extract(lower(title), '^(.*?)(?: \((\d+)\))?$', 1) AS key, coalesce(TRY_CAST(regexp_extract(lower(title), '^(.*?)(?: \((\d+)\))?$', 2) AS INTEGER), 1) AS no FROM r),
+f AS (SELECT q.request_id, q.title, (SELECT min(c) FROM range(1, 10000) x(c) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.space = q.space AND t.key = lower(q.title) AND t.no = c)) AS c FROM q)"""
+
+
+@query(PLAN + FREE + """ SELECT request_id, CASE WHEN c = 1 THEN title ELSE title || ' (' || c || ')' END AS free_title FROM f""")
 def free_titles(spark: SparkSession, folder: str) -> DataFrame:
-    requests, remote = _publish_tables(spark, folder)
+    requests, remote = publish_tables(spark, folder)
     return R.free_titles(requests.select("request_id", "space", "title"), remote)
 
 
