@@ -93,6 +93,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_paragraphs, p5_found, p5_main, p6_found, p6_groups, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shares)
 }
 
+SPANS = """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),
+w AS (SELECT doc_id, i, md5(substr(text, i + 1, 300)) AS m FROM (SELECT doc_id, text, unnest(range(0, length(text) - 299)) AS i FROM d)),
+r AS (SELECT m FROM w GROUP BY m HAVING min(doc_id) < max(doc_id)),
+s AS (SELECT doc_id, i FROM w SEMI JOIN r USING (m)),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 300 THEN 0 ELSE 1 END AS new FROM s),
+n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+spans AS (SELECT doc_id, CAST(min(i) AS INTEGER) AS span_start, CAST(max(i) + 300 AS INTEGER) AS span_end FROM n GROUP BY doc_id, run)
+"""
+
+RUNS = r"""
+WITH RECURSIVE t AS (SELECT package_id AS id, txt FROM blocks WHERE txt IS NOT NULL UNION ALL SELECT package_id, title FROM packages WHERE title IS NOT NULL AND package_id IN (SELECT package_id FROM blocks)),
+w AS (SELECT id, list_transform(regexp_extract_all(txt, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM t),
+s AS (SELECT DISTINCT id, array_to_string(w[i:i+2], ' ') AS run FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+"""
+
 ORACLE: dict[str, str] = {
     "p1_found": r"""
 WITH t AS (SELECT DISTINCT export_id, coalesce(chunk_size, 1600) AS size, string_split(replace(rag_markdown, chr(13) || chr(10), chr(10)), chr(10)) AS lines FROM rag_exports WHERE rag_markdown IS NOT NULL),
@@ -115,4 +131,16 @@ s AS (SELECT DISTINCT id, array_to_string(w[i:i+2], ' ') AS run FROM (SELECT id,
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 both_ AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2)
 SELECT a AS package_id_a, b AS package_id_b FROM both_ JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * c >= 7 * (x.n + y.n - c)""",
+    "p6_groups": RUNS + """
+k AS (SELECT id, md5(string_agg(run, chr(10) ORDER BY run)) AS digest, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT id, n, min(id) OVER (PARTITION BY digest, n) AS class FROM k),
+m AS (SELECT a.id, coalesce(c.class, a.id) AS class FROM (SELECT DISTINCT package_id AS id FROM blocks) a LEFT JOIN c USING (id)),
+f AS (SELECT s.id, s.run, c.n FROM s JOIN c ON c.id = s.id AND c.class = c.id),
+p AS (SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.run = b.run AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT DISTINCT a AS id, a AS far FROM e UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.far),
+l AS (SELECT id, min(far) AS label FROM reach GROUP BY id), g AS (SELECT a AS id, count(*) AS n FROM e GROUP BY a)
+SELECT m.id AS package_id, coalesce(l.label, m.class) AS group_id, m.class AS class_id, coalesce(g.n, 0) AS n_links FROM m LEFT JOIN l ON l.id = m.class LEFT JOIN g ON g.id = m.class""",
+    "p9_found": SPANS + "SELECT doc_id, span_start, span_end FROM spans",
+    "p9_shares": SPANS + ", c AS (SELECT doc_id, sum(span_end - span_start) AS c FROM spans GROUP BY doc_id) SELECT d.doc_id, CAST(coalesce(length(d.text), 0) AS INTEGER) AS n_chars, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars, CASE WHEN coalesce(length(d.text), 0) > 0 THEN coalesce(c, 0) / length(d.text) ELSE 0 END AS share FROM (SELECT DISTINCT doc_id, text FROM documents) d LEFT JOIN c USING (doc_id)",
 }
