@@ -13,6 +13,10 @@ from papyrion.functions.scalars import escape_html, escape_markdown, strip
 from papyrion.operators.flatten import read_record
 
 
+#: Rows of a table that is written as one text.
+MOST_ROWS = 10_000
+
+
 def markdown(kind: Column, level: Column, text: Column, src: Column) -> Column:
     """One block without children as Markdown; an unknown kind as nothing."""
     words = F.coalesce(text, F.lit(""))
@@ -80,7 +84,10 @@ def table_cells(df: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """A whole small table as one Markdown table, its first line the column names."""
+    """A whole small table as one Markdown table, its first line the column names. One text holds it, so a table of more
+    than ``MOST_ROWS`` rows is refused."""
+    if df.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows in one table")
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]), F.lit(" |"))
     rows = df.agg(F.array_sort(F.collect_list(F.struct(*order, cells.alias("line")))).alias("rows"))
     head = "| " + " | ".join(columns) + " |\n| " + " | ".join("---" for _ in columns) + " |"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from papyrion.functions.scalars import escape_markdown, strip
 from papyrion.operators.relations import union_first
 
+MOST_INSTANCES = 1000
 #: The lines that head an issue, and the fields they show.
 META = (("Issue", "key"), ("Type", "issue_type"), ("Status", "status"), ("Project", "project"), ("Assignee", "assignee"))
 
@@ -67,12 +68,15 @@ def merged_instances(first: DataFrame, second: DataFrame, key: str) -> DataFrame
 
 def resolved_instance(requests: DataFrame, instances: DataFrame, fallback: str | None, only: bool) -> DataFrame:
     """``request_id, instance, error``: the instance asked for, else the default, else the first by name, or with ``only`` the
-    sole one there is. One that is not known is an error."""
-    names = instances.agg(F.array_sort(F.collect_set("name")).alias("names"))  # a row of configured instances
-    sole = F.when(F.size("names") == 1, F.get("names", F.lit(0))) if only else F.get("names", F.lit(0))
-    wanted = F.coalesce(F.nullif("asked", F.lit("")), F.lit(fallback).cast("string"), sole)
-    known = F.coalesce(F.array_contains("names", wanted), F.lit(False))
-    return requests.join(F.broadcast(names)).select("request_id", F.when(known, wanted).alias("instance"), F.when(wanted.isNull(), "no instance").when(~known, F.concat(F.lit("unknown instance: "), wanted)).alias("error"))
+    sole one there is. One that is not known is an error. Instances are configured by hand: more than ``MOST_INSTANCES``
+    are refused."""
+    names = sorted(r["name"] for r in instances.where("name is not null").select("name").distinct().limit(MOST_INSTANCES + 1).collect())
+    if len(names) > MOST_INSTANCES:
+        raise ValueError(f"more than {MOST_INSTANCES} instances")
+    sole = names[0] if names and (len(names) == 1 or not only) else None
+    wanted = F.coalesce(F.nullif("asked", F.lit("")), F.lit(fallback).cast("string"), F.lit(sole).cast("string"))
+    known = F.coalesce(wanted.isin(*names), F.lit(False))
+    return requests.select("request_id", F.when(known, wanted).alias("instance"), F.when(wanted.isNull(), "no instance").when(~known, F.concat(F.lit("unknown instance: "), wanted)).alias("error"))
 
 
 def issue_query(project: Column, issue_type: Column, words: Column) -> Column:

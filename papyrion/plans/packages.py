@@ -274,7 +274,7 @@ def page_types(spark: SparkSession, folder: str) -> DataFrame:
 @query("""WITH k AS (SELECT DISTINCT lower(source) AS s FROM source_targets WHERE source IS NOT NULL) SELECT doc_id, k.s AS found FROM documents d LEFT JOIN k ON k.s = lower(trim(d.source))""")
 def names_in_any_case(spark: SparkSession, folder: str) -> DataFrame:
     known = table(spark, folder, "source_targets").where("source is not null").select(F.lower("source").alias("found")).distinct()
-    return table(spark, folder, "documents").join(F.broadcast(known), F.lower(F.trim("source")) == F.col("found"), "left").select("doc_id", "found")
+    return table(spark, folder, "documents").join(known, F.lower(F.trim("source")) == F.col("found"), "left").select("doc_id", "found")
 
 
 @query("""SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 50 OFFSET 50)""")
