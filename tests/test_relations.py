@@ -94,7 +94,7 @@ def test_whole_tables_for_numerals_and_cascade(spark, tmp_path):
     from papyrion.plans import catalogue
 
     spark.createDataFrame([(n,) for n in (1, 3999, 4000, 20000, 20000)], "l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
-    assert sorted(r.n for r in catalogue.QUERIES["numerals_all"](spark, str(tmp_path)).collect()) == [1, 3999, 4000, 20000]
+    assert sorted(r.n for r in catalogue.QUERIES["numerals"](spark, str(tmp_path)).collect()) == [1, 3999, 4000, 20000]
     spark.createDataFrame([(1, "s", "en", "md"), (2, "s", "en", "pdf"), (7, "t", "fr", "md")], "package_id long, space_key string, lang string, source_format string").write.parquet(str(tmp_path / "packages.parquet"))
-    got = {r.request_id: (r.value, r.level) for r in catalogue.QUERIES["state_cascade_all"](spark, str(tmp_path)).collect()}
+    got = {r.request_id: (r.value, r.level) for r in catalogue.QUERIES["state_cascade"](spark, str(tmp_path)).collect()}
     assert got == {1: (1, 0), 2: (2, 0), 7: (7, 0)}
