@@ -1,37 +1,30 @@
 """Runs a query from the command line: ``spark-submit`` or ``python -m papyrion``.
 
-    list                            the queries by name
+    list                            the core's queries by name
     run QUERY FOLDER [TARGET]       its rows shown, or written to TARGET as Parquet
     options [FILE] [KEY=VALUE …]    all options by key
 """
 
 from __future__ import annotations
 
-import importlib.util
 import sys
 
 from papyrion import options
 from papyrion.plans import catalogue
 
 
-def known() -> dict:
-    """The queries of the core, and of the language-model package where it is there."""
-    spec = importlib.util.find_spec("papyrion.llm")
-    return catalogue.QUERIES | (importlib.import_module(f"{spec.name}.queries").QUERIES if spec and spec.origin else {})
-
-
 def main(args: list[str]) -> int:
     command, *rest = args or ["help"]
     if command == "list":
-        print("\n".join(sorted(known())))
+        print("\n".join(sorted(catalogue.QUERIES)))
     elif command == "options":
         files = [x for x in rest if "=" not in x]
         chosen = options.assigned(options.load(files[0] if files else None), [x for x in rest if "=" in x])
         print("\n".join(f"{k} = {v}" for k, v in options.keys(chosen)))
-    elif command == "run" and 2 <= len(rest) <= 3 and rest[0] in known():
+    elif command == "run" and 2 <= len(rest) <= 3 and rest[0] in catalogue.QUERIES:
         from pyspark.sql import SparkSession
 
-        found = known()[rest[0]](SparkSession.builder.appName(rest[0]).getOrCreate(), rest[1])
+        found = catalogue.QUERIES[rest[0]](SparkSession.builder.appName(rest[0]).getOrCreate(), rest[1])
         found.write.mode("errorifexists").parquet(rest[2]) if len(rest) == 3 else found.show(truncate=80)
     else:
         print(__doc__)
