@@ -124,10 +124,12 @@ def page_after(df: DataFrame, order: list[str], token: list | None, size: int) -
     return page_of(rest, [F.col(c) for c in order], size)
 
 
-def useful_fields(df: DataFrame, key: str, payload: str, dropped: tuple[str, ...] = ("description", "attachment", "comment")) -> DataFrame:
-    """``key, field, value`` of a flat JSON object, without empty and unwanted fields."""
+def useful_fields(df: DataFrame, key: str, payload: str, dropped: tuple[str, ...] = ("description", "attachment", "comment"), names: dict[str, str] | None = None) -> DataFrame:
+    """``key, field, name, value`` of a flat JSON object, without empty and unwanted fields; ``names`` gives the names that
+    fields are shown under, their own otherwise."""
     fields = F.map_filter(F.from_json(F.col(payload), "map<string,string>"), lambda k, v: v.isNotNull() & ~v.isin("", "[]", "{}") & ~k.isin(*dropped))
-    return df.select(key, F.explode(fields).alias("field", "value"))
+    shown = F.create_map(*[F.lit(x) for pair in (names or {"": ""}).items() for x in pair])
+    return df.select(key, F.explode(fields).alias("field", "value")).select(key, "field", F.coalesce(shown[F.col("field")], "field").alias("name"), "value")
 
 
 def unwrapped(df: DataFrame, key: str, payload: str, delivered: str) -> DataFrame:

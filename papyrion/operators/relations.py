@@ -171,6 +171,11 @@ def batch_report(df: DataFrame, failed: Column, warnings: Column) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(~failed).alias("succeeded"), F.count_if(failed).alias("failed"), F.coalesce(F.sum(warnings), F.lit(0)).alias("warnings"))
 
 
+def failures(df: DataFrame, key: str, reason: Column) -> DataFrame:
+    """``key, reason`` of the rows for which there is a reason; repeated rows count once."""
+    return df.select(key, reason.alias("reason")).where("reason is not null").distinct()
+
+
 def heading_numbers(df: DataFrame, doc: list[str], order: str, level: str, deepest: int = 9) -> DataFrame:
     """Adds ``number`` (``2.1.3``) to headings: each level counts since the last heading above it; a level that a
     deeper heading skips counts as begun. A count is a window over what came before, so documents stay in order without a loop."""

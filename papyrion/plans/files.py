@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papyrion import streaming
 from papyrion.functions import scalars as S
 from papyrion.operators import flat, office
 from papyrion.operators import publishing as P
 from papyrion.operators import trees
 from papyrion.plans.texts import CHUNKS
+
 from papyrion.runtime import shared_path, table
 from papyrion.sources import files, office_writer, packages
 
@@ -140,6 +142,32 @@ def path_extensions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "packages").where("original_path is not null").select("package_id", S.extension(F.col("original_path")).alias("ext")).distinct()
 
 
+# ------------------------------------------------------------ streams, run until all that is there has been read
+
+
+def _arriving(folder: str, name: str) -> str:
+    """A table as a pattern, which a stream takes whether it is one file or a folder of them."""
+    return f"{folder}/{name}.parque[t]"
+
+
+@query(CHUNKS + "SELECT doc_id, chunk_id, content FROM chunks")
+def chunks_streamed(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    target = shared_path(spark, "stream")
+    stream = spark.readStream.schema(docs.schema).parquet(_arriving(folder, "documents"))
+    streaming.stream_chunks(stream, "text", ["doc_id"], f"{target}/out", f"{target}/progress").awaitTermination()
+    return spark.read.parquet(f"{target}/out").select("doc_id", "chunk_id", "content")
+
+
+@query("""SELECT user_id, event_type, arg_max({'e': event_id, 'v': value}, {'t': ts, 'e': event_id, 'v': value}).e AS event_id FROM events GROUP BY ALL""")
+def state_streamed(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events")
+    target = shared_path(spark, "state")
+    stream = spark.readStream.schema(events.schema).parquet(_arriving(folder, "events")).select("user_id", "event_type", "ts", "event_id", "value")
+    streaming.stream_state(stream, ["user_id", "event_type"], ["ts", "event_id"], f"{target}/state", f"{target}/progress").awaitTermination()
+    return streaming.last_state(spark, f"{target}/state").select("user_id", "event_type", "event_id")
+
+
 # ------------------------------------------------------------ documents read back from what was written
 
 

@@ -119,9 +119,9 @@ def comments_union(spark: SparkSession, folder: str) -> DataFrame:
     return R.union_first([events.where("event_id % 3 = 0"), events.where("event_id % 2 = 0"), events], ["event_id"], ["user_id", "event_type"])
 
 
-@query("""SELECT event_id, k AS field, v AS value FROM (SELECT event_id, unnest(json_keys(props)) AS k, unnest(list_transform(json_keys(props), lambda x: json_extract_string(props, '$.' || x))) AS v FROM events WHERE props IS NOT NULL) WHERE v IS NOT NULL AND v NOT IN ('', '[]', '{}') AND k NOT IN ('description', 'attachment', 'comment')""")
+@query("""SELECT event_id, k AS field, CASE k WHEN 'page' THEN 'Page' WHEN 'ref' THEN 'Reference' ELSE k END AS name, v AS value FROM (SELECT event_id, unnest(json_keys(props)) AS k, unnest(list_transform(json_keys(props), lambda x: json_extract_string(props, '$.' || x))) AS v FROM events WHERE props IS NOT NULL) WHERE v IS NOT NULL AND v NOT IN ('', '[]', '{}') AND k NOT IN ('description', 'attachment', 'comment')""")
 def useful_fields(spark: SparkSession, folder: str) -> DataFrame:
-    return flat.useful_fields(table(spark, folder, "events"), "event_id", "props")
+    return flat.useful_fields(table(spark, folder, "events"), "event_id", "props", names={"page": "Page", "ref": "Reference"})
 
 
 # ------------------------------------------------------------ wiki tree and publishing
@@ -217,6 +217,13 @@ def batch_report(spark: SparkSession, folder: str) -> DataFrame:
     return R.batch_report(table(spark, folder, "rag_exports"), failed, F.coalesce((F.col("overlap_chars") > F.col("chunk_size")).cast("int"), F.lit(0)))
 
 
+@query("""SELECT DISTINCT export_id, CASE WHEN rag_markdown IS NULL THEN 'no text' ELSE 'no count' END AS reason FROM rag_exports WHERE rag_markdown IS NULL OR chunk_count IS NULL""")
+def batch_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """The items that a batch report counts as failed, each with its reason."""
+    reason = F.when(F.col("rag_markdown").isNull(), "no text").when(F.col("chunk_count").isNull(), "no count")
+    return R.failures(table(spark, folder, "rag_exports"), "export_id", reason)
+
+
 # ------------------------------------------------------------ blocks of packages
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from papyrion.operators import chunks, relations
@@ -28,3 +29,10 @@ def stream_state(changes: DataFrame, key: list[str], version: list[str], target:
         batch.write.mode("overwrite").parquet(f"{target}/version={number}")
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_state(spark: SparkSession, target: str) -> DataFrame:
+    """The state after the last batch that is there, read through the partition column of the versions."""
+    versions = spark.read.parquet(target)
+    last = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == last).drop("version")
