@@ -357,3 +357,22 @@ def marker_summary(counts: Column) -> Column:
 def fidelity(counts: Column) -> Column:
     """``partial`` if anything was counted that can't be shown as text, else ``full``."""
     return F.when(F.exists(F.map_values(counts), lambda v: v > 0), "partial").otherwise("full")
+
+
+def width_properties(width: Column) -> Column:
+    """The properties that set a page's width, as JSON, for ``page_width``'s names; none where the target's own stays."""
+    names = ("content-appearance-published", "content-appearance-draft")
+    return F.when(width == "", "{}").otherwise(F.to_json(F.struct(*[width.alias(n) for n in names])))
+
+
+def checkbox_signs(markup: Column) -> Column:
+    """HTML with a sign for each check box, crossed where it is checked."""
+    box = r'<input\b(?=[^>]*\btype="checkbox")'
+    return F.regexp_replace(F.regexp_replace(markup, box + r"(?=[^>]*\bchecked\b)[^>]*>", "☒"), box + r"[^>]*>", "☐")
+
+
+def error_text(error: BaseException) -> str:
+    """An error in one line: what it says, or its kind where it says nothing, and what caused it."""
+    said = " ".join(str(error).split()) or type(error).__name__
+    cause = error.__cause__
+    return f"{said} ({error_text(cause)})" if cause is not None else said

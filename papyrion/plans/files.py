@@ -175,6 +175,23 @@ def _written(spark: SparkSession, folder: str) -> DataFrame:
     return P.package_documents(table(spark, folder, "packages"), table(spark, folder, "blocks"), "package_id")
 
 
+@query(r"""SELECT DISTINCT CAST(package_id AS BIGINT) AS package_id, source_sha256, original_path, 5 AS n_outputs, true AS rag_ready FROM packages WHERE package_id IN (SELECT package_id FROM blocks)""")
+def packages_written(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifests read back from the packages as they were written."""
+    target = shared_path(spark, "packages")
+    P.write_packages(P.package_files(_written(spark, folder), "package_id"), target)
+    found = packages.written_manifests(spark, target)
+    return found.select(F.regexp_extract("package", r"~(\d+)$", 1).cast("long").alias("package_id"), F.col("source.sha256").alias("source_sha256"), F.col("source.original_path").alias("original_path"), F.size("outputs").alias("n_outputs"), "rag_ready")
+
+
+@query("SELECT DISTINCT package_id, unnest(['chunks.jsonl', 'document.json', 'manifest.json', 'render_document.html', 'render_document.md', 'render_document.rag.md']) AS member FROM packages WHERE package_id IN (SELECT package_id FROM blocks)")
+def package_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """The members of an archive made of each package's files."""
+    own = P.package_files(_written(spark, folder), "package_id").groupBy(F.col("package_id").alias("path")).agg(F.array_sort(F.collect_list(F.struct("file", "content"))).alias("files"))
+    zips = office_writer.files_of(own, "path", lambda r: office_writer.archive({f["file"]: f["content"] for f in r["files"]}))
+    return files.members(zips).select(F.col("path").cast("long").alias("package_id"), "member")
+
+
 @query(r"""WITH h AS (SELECT DISTINCT package_id, block_no, greatest(1, least(6, coalesce(heading_level, 1))) AS level, regexp_replace(txt, '^\s+|\s+$', '', 'g') AS txt FROM blocks WHERE kind = 'heading' AND package_id IN (SELECT package_id FROM packages))
 SELECT package_id, CAST(row_number() OVER (PARTITION BY package_id ORDER BY block_no) AS INTEGER) AS heading_no, CAST(level AS INTEGER) AS level, txt FROM h WHERE txt <> ''""")
 def markdown_headings(spark: SparkSession, folder: str) -> DataFrame:

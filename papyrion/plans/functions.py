@@ -85,10 +85,11 @@ def cell_texts(spark: SparkSession, folder: str) -> DataFrame:
 WIDTHS = ("narrow", "étroit", "fixed-width", "wide", "Large", "full", "max", "default", "unset", "")
 
 
-@query(f"""SELECT n_nationkey, {list(WIDTHS)!r}[n_nationkey % 10 + 1] AS asked, ['default', 'default', 'default', 'full-width', 'full-width', 'full-width', 'max', 'default', '', 'max'][n_nationkey % 10 + 1] AS width FROM nation""")
+@query(f"""SELECT n_nationkey, {list(WIDTHS)!r}[n_nationkey % 10 + 1] AS asked, ['default', 'default', 'default', 'full-width', 'full-width', 'full-width', 'max', 'default', '', 'max'][n_nationkey % 10 + 1] AS width, CASE n_nationkey % 10 WHEN 8 THEN '{{}}' ELSE '{{"content-appearance-published":"' || ['default', 'default', 'default', 'full-width', 'full-width', 'full-width', 'max', 'default', '', 'max'][n_nationkey % 10 + 1] || '","content-appearance-draft":"' || ['default', 'default', 'default', 'full-width', 'full-width', 'full-width', 'max', 'default', '', 'max'][n_nationkey % 10 + 1] || '"}}' END AS properties FROM nation""")
 def page_widths(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "nation").select("n_nationkey", F.element_at(F.array(*map(F.lit, WIDTHS)), F.col("n_nationkey") % 10 + 1).alias("asked"))
-    return rows.select("n_nationkey", "asked", S.page_width(F.col("asked")).alias("width"))
+    width = S.page_width(F.col("asked"))
+    return rows.select("n_nationkey", "asked", width.alias("width"), S.width_properties(width).alias("properties"))
 
 
 @query("""SELECT p_partkey, 'color=' || p_brand || '|width=' || p_size || 'px' AS styles FROM part""")
@@ -112,6 +113,12 @@ def page_titles(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("export_id", S.page_title_of(text, F.lit("/a/release_notes.md")).alias("title"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '☒' ELSE '☐' END || ' ' || o_orderpriority AS text FROM orders""")
+def checkboxes(spark: SparkSession, folder: str) -> DataFrame:
+    box = F.concat(F.lit('<input type="checkbox"'), F.when(F.col("o_orderstatus") == "F", " checked").otherwise(""), F.lit("/> "), "o_orderpriority")
+    return table(spark, folder, "orders").select("o_orderkey", S.checkbox_signs(box).alias("text"))
+
+
 # ------------------------------------------------------------ issues
 
 

@@ -300,6 +300,19 @@ def package_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "blocks").groupBy("package_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), one.alias("uniform_space"), (F.count_distinct("kind") <= 2).alias("plain"))
 
 
+@query("""SELECT package_id, count(*) FILTER (WHERE kind = 'heading') AS headings, count(*) FILTER (WHERE kind = 'image') AS images, count(*) FILTER (WHERE kind = 'image' AND src IS NULL) AS images_without_file, count(*) FILTER (WHERE kind = 'table') AS tables FROM (SELECT DISTINCT package_id, block_no, kind, src FROM blocks) GROUP BY package_id""")
+def package_counters(spark: SparkSession, folder: str) -> DataFrame:
+    kind = F.col("kind")
+    rows = table(spark, folder, "blocks").select("package_id", "block_no", "kind", "src").distinct()
+    return rows.groupBy("package_id").agg(F.count_if(kind == "heading").alias("headings"), F.count_if(kind == "image").alias("images"), F.count_if((kind == "image") & F.col("src").isNull()).alias("images_without_file"), F.count_if(kind == "table").alias("tables"))
+
+
+@query("""SELECT space_key, min(title) AS first_title, count(*) AS pages FROM page_tree WHERE space_key IS NOT NULL GROUP BY space_key ORDER BY lower(space_key), space_key""")
+def spaces_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    spaces = table(spark, folder, "page_tree").where("space_key is not null").groupBy("space_key").agg(F.min("title").alias("first_title"), F.count(F.lit(1)).alias("pages"))
+    return spaces.orderBy(F.lower("space_key"), "space_key")
+
+
 @query("""SELECT c_mktsegment AS series, max(c_acctbal) AS greatest_value, sum(greatest(0, c_acctbal)) AS pie_total FROM customer GROUP BY 1""")
 def chart_totals(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").groupBy(F.col("c_mktsegment").alias("series")).agg(F.max("c_acctbal").alias("greatest_value"), F.sum(F.greatest(F.lit(0.0), "c_acctbal")).alias("pie_total"))

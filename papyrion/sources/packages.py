@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,35 @@ def write_keyed_state(state: DataFrame, changes: DataFrame, key: list[str], vers
     """Writes the state after changes as a new folder beside the old one, so that a failure leaves the old one whole."""
     relations.upsert(state, changes, key, version).write.mode("errorifexists").parquet(target)
     return state.sparkSession.read.parquet(target)
+
+
+def replaced(spark: SparkSession, target: str, build: Callable[[str], None], carry: Callable[[str, str], None] | None = None) -> None:
+    """Builds ``target`` anew beside the old one and puts it in its place only when all went well. ``carry`` takes over from
+    the old folder to the new one what has to live on, before the exchange; an error in either leaves the old one as it
+    was. Folders may lie on any file system the session knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    old, new, aside = path(target), path(f"{target}.new"), path(f"{target}.old")
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(new, True)
+    try:
+        build(f"{target}.new")
+        if carry is not None and fs.exists(old):
+            carry(target, f"{target}.new")
+    except BaseException:
+        fs.delete(new, True)
+        raise
+    fs.delete(aside, True)
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"{target} can't be put aside")
+    if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
+        raise OSError(f"{target} can't be replaced")
+    fs.delete(aside, True)
+
+
+def written_manifests(spark: SparkSession, target: str) -> DataFrame:
+    """``package`` and the manifest's fields of packages that ``publishing.write_packages`` wrote below ``target``."""
+    rows = spark.read.text(target, wholetext=True).where("file = 'manifest.json'")
+    return rows.select("package", F.from_json("value", MANIFEST).alias("m")).select("package", "m.*")

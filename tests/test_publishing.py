@@ -1,9 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from papyrion.functions import scalars
 from papyrion.operators import issues, outline
 from papyrion.operators import publishing as P
+from papyrion.sources import packages
 
 PACKAGES = "package_id long, package string, title string, original_path string, source_sha256 string"
 BLOCKS = "package_id long, block_no int, kind string, heading_level int, txt string, src string"
@@ -103,3 +106,30 @@ def test_levels_of_a_numbering(spark):
     levels = outline.numbering_levels(numbers, abstracts)
     heads = spark.createDataFrame([(1, 1, "One", "5", 0), (1, 2, "Two", "5", 0)], "doc long, position long, title string, number_id string, number_level int")
     assert [(r.position, r.number) for r in outline.source_numbers(heads, levels, "doc").collect()] == [(1, "I."), (2, "II.")]
+
+
+def test_replaced_whole_or_not_at_all(spark, tmp_path):
+    target = str(tmp_path / "package")
+    write = lambda n: lambda to: spark.range(n).write.parquet(to)
+    packages.replaced(spark, target, write(1))
+    packages.replaced(spark, target, write(2), lambda old, new: spark.read.parquet(old).write.parquet(f"{new}/carried"))
+    assert spark.read.parquet(f"{target}/*.parquet").count() == 2 and spark.read.parquet(f"{target}/carried").count() == 1
+
+    def fails(to):
+        write(3)(to)
+        raise RuntimeError("no")
+
+    for build, carry in ((fails, None), (write(4), lambda old, new: fails(f"{new}/x"))):
+        with pytest.raises(RuntimeError):
+            packages.replaced(spark, target, build, carry)
+    assert spark.read.parquet(f"{target}/*.parquet").count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["package"]
+
+
+def test_errors_in_one_line():
+    try:
+        try:
+            raise KeyError()
+        except KeyError as e:
+            raise ValueError("bad\n  value") from e
+    except ValueError as e:
+        assert scalars.error_text(e) == "bad value (KeyError)"
