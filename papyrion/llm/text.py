@@ -13,8 +13,6 @@ import xxhash
 WORD = re.compile(r"[^\W_]+")
 #: Characters handled at a time by the array code, so that memory doesn't follow the size of a batch.
 CHUNK_CHARS = 1_000_000
-#: Distinct words whose hash a worker remembers.
-KNOWN_WORDS = 2_000_000
 
 _ODD = np.random.Generator(np.random.PCG64(20240117)).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -132,16 +130,6 @@ def worker_words() -> Words:
     return Words()
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values."""
     h = h ^ (h >> np.uint64(30))
