@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.text import CHUNK_CHARS, Words, arrow, chunks, inside, rows_of, run_hashes
+from papyrion.llm.text import CHUNK_CHARS, Words, arrow, inside, rows_of, run_hashes
 from papyrion.runtime import discard, partitions_for, session_of, small, store
 
 #: Common runs asked of the prefixes of a pair; more of them make longer prefixes and fewer false candidates.
@@ -49,14 +49,35 @@ def _gathered(texts: DataFrame) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[int, dict[str, None]] = {}
-            for key, text in rows_of(batch):
-                by.setdefault(key, {})[text] = None
-            yield arrow({"key": (list(by), pa.int64()), "texts": ([list(v) for v in by.values()], pa.list_(pa.string()))})
+            if not batch.num_rows:
+                continue
+            keys, owner = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            text = batch.column(1).dictionary_encode()
+            pairs = owner.astype(np.int64) * (len(text.dictionary) + 1) + text.indices.to_numpy()
+            kept = np.unique(pairs, return_index=True)[1]  # by record, each text where it stands first
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(keys)))])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), text.dictionary.take(text.indices.take(pa.array(kept))))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], ["key", "texts"])
 
     return texts.mapInArrow(gather, "key long, texts array<string>")
 
 
+def _chunked(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[int], np.ndarray]]:
+    """(texts, keys, how many of the texts each key has) of pieces of about ``CHUNK_CHARS`` of a batch of gathered rows; a
+    longer text comes alone and whole, and a row's texts may fall into several pieces."""
+    keys, lists = batch.column(0).to_pylist(), batch.column(1)
+    texts = lists.flatten().to_pylist()
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    rows = np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy())
+    at = 0
+    while at < len(texts):
+        limit = (ends[at - 1] if at else 0) + CHUNK_CHARS
+        stop = max(at + 1, int(np.searchsorted(ends, limit, "right")))
+        own = rows[at:stop]
+        yield texts[at:stop], keys[own[0] : own[-1] + 1], np.bincount(own - own[0])
+        at = stop
+
+
 def _packed(values: np.ndarray) -> bytes:
     """The bytes of an array, all first bytes before all second ones: small differences then compress well."""
     return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
@@ -92,11 +113,11 @@ def _blocks(texts: DataFrame, n: int) -> DataFrame:
 
         current, parts, held, total = None, [], 0, 0
         for batch in batches:
-            for rows in chunks(((k, t) for k, ts in rows_of(batch) for t in ts), CHUNK_CHARS):
-                keys, own = _flat_runs([t for _, t in rows], n, parse)
-                ends = np.searchsorted(own, np.arange(len(rows)), "right")
+            for texts, keys, counts in _chunked(batch):
+                found, own = _flat_runs(texts, n, parse)
+                ends = np.searchsorted(own, np.cumsum(counts))  # runs of a row's texts stand together
                 start = 0
-                for (key, _), end in zip(rows, ends.tolist(), strict=True):
+                for key, end in zip(keys, ends.tolist(), strict=True):
                     if key != current:
                         if parts and len(runs := np.unique(np.concatenate(parts))):
                             done.append((current, runs))
@@ -105,7 +126,7 @@ def _blocks(texts: DataFrame, n: int) -> DataFrame:
                                 yield block()
                                 total = 0
                         current, parts, held = key, [], 0
-                    parts.append(keys[start:end])
+                    parts.append(found[start:end])
                     held += end - start
                     if held > 4_000_000:  # many repeated rows of one record: keep its set only
                         parts = [np.unique(np.concatenate(parts))]

@@ -45,7 +45,7 @@ def test_against_brute_force(spark, seed, n, num, part):
 def test_same_answers_for_blocks_parts_and_fingerprints_of_any_size(spark, monkeypatch):
     rows = corpus(4)
     df = spark.createDataFrame([(k, t, "c", "c") for k, t in rows], SCHEMA)
-    for name, value in (("BLOCK_RUNS", 60), ("PART_RUNS", 8), ("FINGERPRINT_BITS", -20)):
+    for name, value in (("BLOCK_RUNS", 60), ("PART_RUNS", 8), ("FINGERPRINT_BITS", -20), ("CHUNK_CHARS", 40)):
         monkeypatch.setattr(neardup, name, value)
     members, links = neardup.similar(df, "package_id", "text", 3, 7, 10, part_size=3)
     assert {tuple(r) for r in neardup.pairs(members, links).collect()} == brute(rows, 3, 7, 10)
