@@ -61,6 +61,15 @@ def write_packages(files: DataFrame, target: str, mode: str = "errorifexists") -
     files.select(folder.alias("package"), "file", F.col("content").alias("value")).write.partitionBy("package", "file").mode(mode).option("lineSep", "\n").text(target)
 
 
+def write_bundles(files: DataFrame, target: str, mode: str = "errorifexists") -> None:
+    """Writes the files of all packages as ``write_packages`` does, but with those of many packages in one file on disk: a
+    row each, its content byte for byte, apart by name, so that a reader of manifests opens no other. What is written
+    grows with the contents, not with six files and seven folders a package. ``packages.bundled_files`` gives the files
+    back, and ``write_packages`` makes folders of those that are wanted as such."""
+    key = F.col(files.columns[0]).cast("string").alias("key")
+    files.select(key, "package_dir", "file", "content").write.partitionBy("file").mode(mode).option("compression", "zstd").parquet(target)
+
+
 def legacy_view(text: Column, removed: Column) -> Column:
     """A Markdown text for retrieval as it was first made: without the images in ``removed``, an image shown again left
     out, no lines of emphasis marks alone, no blank lines in excess."""

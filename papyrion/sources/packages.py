@@ -78,3 +78,14 @@ def written_manifests(spark: SparkSession, target: str) -> DataFrame:
     """``package`` and the manifest's fields of packages that ``publishing.write_packages`` wrote below ``target``."""
     rows = spark.read.text(target, wholetext=True).where("file = 'manifest.json'")
     return rows.select("package", F.from_json("value", MANIFEST).alias("m")).select("package", "m.*")
+
+
+def bundled_files(spark: SparkSession, target: str) -> DataFrame:
+    """``key, package_dir, file, content``: the files of packages that ``publishing.write_bundles`` wrote below ``target``."""
+    return spark.read.schema("key string, package_dir string, content string, file string").parquet(target).select("key", "package_dir", "file", "content")
+
+
+def bundled_manifests(spark: SparkSession, target: str) -> DataFrame:
+    """``key, package_dir`` and the manifest's fields of packages that ``publishing.write_bundles`` wrote below ``target``."""
+    rows = bundled_files(spark, target).where("file = 'manifest.json'")
+    return rows.select("key", "package_dir", F.from_json("content", MANIFEST).alias("m")).select("key", "package_dir", "m.*")

@@ -1,11 +1,13 @@
 import json
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from papyrion.functions import scalars
 from papyrion.operators import issues, outline
 from papyrion.operators import publishing as P
+from papyrion.plans import files as plans
 from papyrion.sources import packages
 
 PACKAGES = "package_id long, package string, title string, original_path string, source_sha256 string"
@@ -35,6 +37,34 @@ def test_files_of_a_package(spark, tmp_path):
     assert P.package_files(documents(spark).limit(0), "package_id").count() == 0
 
 
+def test_bundles_hold_every_file_and_make_folders(spark, tmp_path):
+    files = P.package_files(documents(spark), "package_id")
+    P.write_bundles(files, str(tmp_path / "bundles"))
+    back = packages.bundled_files(spark, str(tmp_path / "bundles"))
+    assert sorted(map(tuple, back.collect())) == sorted((str(r.package_id), r.package_dir, r.file, r.content) for r in files.collect())
+    found = {r.key: r for r in packages.bundled_manifests(spark, str(tmp_path / "bundles")).collect()}
+    assert set(found) == {"1", "2"} and found["1"].source.original_path == "/x/a b.md" and found["1"].rag_ready and len(found["1"].outputs) == 5
+    P.write_packages(back.where("key = '1'"), str(tmp_path / "folders"))
+    assert [r.source.sha256 for r in packages.written_manifests(spark, str(tmp_path / "folders")).collect()] == ["f" * 64]
+
+
+def test_bundles_on_disk_do_not_grow_with_packages(spark, tmp_path):
+    # write_packages makes a file and a folder of each, and none of no package at all
+    n = 300
+    files = spark.range(n, numPartitions=2).select("id", F.lit("p").alias("package_dir"), F.explode(F.array(F.lit("manifest.json"), F.lit("a.md"))).alias("file"), F.lit("{}").alias("content"))
+    for name, rows, most in (("all", files, 4), ("none", files.limit(0), 1)):
+        target = tmp_path / name
+        P.write_bundles(rows, str(target))
+        assert packages.bundled_manifests(spark, str(target)).count() == (n if name == "all" else 0)
+        assert len([p for p in target.rglob("*.parquet") if p.is_file()]) <= most
+
+
+def test_written_packages_are_few_files_on_disk(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(plans, "shared_path", lambda spark, label: str(tmp_path / label))
+    found = plans.packages_written(spark, str(oracle.DATA)).count()
+    assert found > 30 and len([p for p in (tmp_path / "packages").rglob("*") if p.is_file()]) < found
+
+
 def test_legacy_view(spark):
     text = "![a](h.png)\n\n![b](x.png) and ![c](x.png)\n\n**\n\n\n\ntail ![d](y.png 'z')\n"
     df = spark.createDataFrame([(text,), ("",)], "t string")
