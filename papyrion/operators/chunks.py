@@ -84,16 +84,24 @@ def limits(most: int, overlap: int) -> tuple[int, int]:
     return most, max(0, min(overlap, most // 3))
 
 
+def pieces(text: Column, most: int = MAX_CHARACTERS, overlap: int = OVERLAP) -> Column:
+    """Array of (path, content) of a text's chunks, in their order."""
+    most, overlap = limits(most, overlap)
+    return F.flatten(F.transform(sections(text), lambda s: F.transform(pack(s["text"], most, overlap), lambda c: F.struct(s["path"].alias("path"), c.alias("content")))))
+
+
+def embedding_text(piece: Column) -> Column:
+    """The content of a chunk with its path before it."""
+    path = F.array_join(piece["path"], " > ")
+    return F.when(path != "", F.concat(path, F.lit("\n\n"), piece["content"])).otherwise(piece["content"])
+
+
 def chunk(df: DataFrame, text: str, keep: list[str], most: int = MAX_CHARACTERS, overlap: int = OVERLAP, with_path: bool = True) -> DataFrame:
     """Retrieval chunks: ``chunk_id`` (from 1 in each document), ``heading_path, content, embedding_text``. A null or
     blank text has none. The size is 300 at least, the overlap a third of it at most."""
-    most, overlap = limits(most, overlap)
-    each = F.transform(sections(F.col(text)), lambda s: F.transform(pack(s["text"], most, overlap), lambda c: F.struct(s["path"].alias("path"), c.alias("content"))))
-    rows = df.where(F.col(text).isNotNull()).select(*keep, F.posexplode(F.flatten(each)).alias("at", "chunk"))
-    path = F.array_join("chunk.path", " > ")
-    content = F.col("chunk.content")
-    embedded = F.when(path != "", F.concat(path, F.lit("\n\n"), content)).otherwise(content) if with_path else content
-    return rows.select(*keep, (F.col("at") + 1).alias("chunk_id"), F.col("chunk.path").alias("heading_path"), content.alias("content"), embedded.alias("embedding_text"))
+    rows = df.where(F.col(text).isNotNull()).select(*keep, F.posexplode(pieces(F.col(text), most, overlap)).alias("at", "chunk"))
+    embedded = embedding_text(F.col("chunk")) if with_path else F.col("chunk.content")
+    return rows.select(*keep, (F.col("at") + 1).alias("chunk_id"), F.col("chunk.path").alias("heading_path"), F.col("chunk.content").alias("content"), embedded.alias("embedding_text"))
 
 
 def outline(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

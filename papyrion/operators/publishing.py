@@ -22,8 +22,8 @@ MANIFEST = "manifest.json"
 def package_documents(packages: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
     """A row per package that has blocks: its directory, id and title, and its contents as files would hold them.
     Packages: ``key, package, title, original_path, source_sha256``; blocks: ``key, block_no, kind, heading_level, txt,
-    src``. Repeated rows count once."""
-    own = blocks.select(key, "block_no", "kind", "heading_level", "txt", "src").distinct()
+    src``. Repeated rows count once. Blocks are moved once, to where their package is, and made into text there."""
+    own = blocks.select(key, "block_no", "kind", "heading_level", "txt", "src").repartition(key).distinct()
     shown = flat.markdown(F.col("kind"), F.col("heading_level"), F.col("txt"), F.col("src"))
     page = flat.html(F.col("kind"), F.col("heading_level"), F.col("txt"), F.col("src"))
     rows = own.select(key, F.struct("block_no", shown.alias("md"), page.alias("html"), F.struct("block_no", "kind", "heading_level", "txt", "src").alias("block")).alias("b"), F.when(F.col("kind") == "image", F.col("src")).alias("image"))
@@ -38,15 +38,15 @@ def package_documents(packages: DataFrame, blocks: DataFrame, key: str) -> DataF
 
 
 def package_files(documents: DataFrame, key: str) -> DataFrame:
-    """``key, package_dir, file, content``: the files of each package, the manifest naming the others last."""
+    """``key, package_dir, file, content``: the files of each package, the manifest naming the others last. All of a row's
+    files are made of that row."""
     retrieval = documents.withColumn("rag_markdown", legacy_view(F.col("publication_markdown"), F.array().cast("array<string>")))
-    lines = chunks.chunk(retrieval, "rag_markdown", [key])
-    line = F.to_json(F.struct(F.col("chunk_id").alias("id"), "heading_path", "content", "embedding_text"))
-    listed = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_id", line.alias("line")))).alias("ls")).select(key, F.concat(F.array_join("ls.line", "\n"), F.lit("\n")).alias("chunks"), F.size("ls").alias("n_chunks"))
-    full = retrieval.join(listed, key, "left")
+    pieces = retrieval.withColumn("pieces", F.coalesce(chunks.pieces(F.col("rag_markdown")), F.array().cast("array<struct<path:array<string>,content:string>>")))
+    line = lambda c, i: F.concat(F.to_json(F.struct((i + 1).alias("id"), c["path"].alias("heading_path"), c["content"].alias("content"), chunks.embedding_text(c).alias("embedding_text"))), F.lit("\n"))
+    full = pieces.withColumn("chunks", F.array_join(F.transform("pieces", line), "")).withColumn("n_chunks", F.size("pieces"))
     manifest = F.to_json(F.struct(
         F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct(F.col("source_sha256").alias("sha256"), "original_path").alias("source"),
-        F.create_map(*[F.lit(x) for pair in OUTPUTS.items() for x in pair]).alias("outputs"), "images", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.lit(True).alias("rag_ready"),
+        F.create_map(*[F.lit(x) for pair in OUTPUTS.items() for x in pair]).alias("outputs"), "images", "n_chunks", F.lit(True).alias("rag_ready"),
     ))
     each = F.array(*[F.struct(F.lit(name).alias("file"), F.coalesce(what, F.lit("")).alias("content")) for what, name in OUTPUTS.items()], F.struct(F.lit(MANIFEST).alias("file"), manifest.alias("content")))
     return full.select(key, "package_dir", F.explode(each).alias("f")).select(key, "package_dir", "f.file", "f.content")
