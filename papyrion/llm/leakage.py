@@ -92,10 +92,11 @@ def ordinary_words(text: str) -> list[str]:
 WINDOWS = "key long, id long, at int, exact long, solid boolean, raw array<long>"
 
 
-def windows(texts: DataFrame, run: int, literals, sieve, raw: bool) -> DataFrame:
-    """Windows of ``run`` words of ``id, text``, see ``WINDOWS``: ``key`` the hash of their canonical form, ``exact`` that of
-    the words, ``raw`` the words' hashes if asked for; ``solid`` where at least a third are no slots. With a ``sieve``
-    only those it knows, by ``key`` or, without ``raw``, by ``exact``."""
+def windows(texts: DataFrame, run: int, literals, sieve) -> DataFrame:
+    """Windows of ``run`` words of ``id, text``, see ``WINDOWS``: ``key`` the hash of their template, ``exact`` that of the
+    words, ``raw`` the words' hashes, which are the values of the slots where there are some; ``solid`` where at least a
+    third are no slots. The others have too little of a template to be known reworded, and ``exact`` as their key: long
+    tables of numbers meet only themselves. With a ``sieve`` only those whose key it knows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonical(Sieve(literals.value))
@@ -103,20 +104,20 @@ def windows(texts: DataFrame, run: int, literals, sieve, raw: bool) -> DataFrame
         for batch in batches:
             for rows in chunks(rows_of(batch), CHUNK_CHARS):
                 ids, forms, lengths = canonical([t for _, t in rows])
-                keys = run_hashes(forms, run)
                 whole = inside(lengths, run)
-                exact = None if raw and known is not None else run_hashes(ids, run)
-                at = np.flatnonzero(whole if known is None else whole & known.has(keys if raw else exact))
+                exact = run_hashes(ids, run)
+                plain = np.concatenate([[0], np.cumsum(forms > NAME)])
+                solid = (plain[run:] - plain[:-run]) * 3 >= run
+                keys = np.where(solid, run_hashes(forms, run), exact)
+                at = np.flatnonzero(whole if known is None else whole & known.has(keys))
                 if not len(at):
                     continue
-                exact = run_hashes(ids, run)[at] if exact is None else exact[at]
                 starts = np.concatenate([[0], np.cumsum(lengths)])
                 own = np.searchsorted(starts, at, "right") - 1
                 around = at[:, None] + np.arange(run)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * run, pa.int32()), pa.array(ids[around].reshape(-1).view(np.int64))) if raw else pa.nulls(len(at), pa.list_(pa.int64()))
-                solid = (forms[around] > NAME).sum(axis=1) * 3 >= run
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * run, pa.int32()), pa.array(ids[around].reshape(-1).view(np.int64)))
                 names = np.array([k for k, _ in rows], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(names[own]), pa.array((at - starts[own]).astype(np.int32)), pa.array(exact.view(np.int64)), pa.array(solid), lists], ["key", "id", "at", "exact", "solid", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(names[own]), pa.array((at - starts[own]).astype(np.int32)), pa.array(exact[at].view(np.int64)), pa.array(solid[at]), lists], ["key", "id", "at", "exact", "solid", "raw"])
 
     return texts.mapInArrow(scan, WINDOWS)
 
@@ -133,7 +134,8 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
 
     ``kind`` is ``verbatim``, or, with ``reworded``, ``reparameterised`` where the words are an item's template with
     consistently other slot values; a window that is verbatim from any item is not counted as reworded from another,
-    and an item that a document holds verbatim is not reported as reworded there.
+    and an item that a document holds verbatim is not reported as reworded there. Either way windows meet by their template
+    and are told apart by what stands in its slots.
     ``windows`` counts the matching windows of the document, ``first_word`` is the first one's place. Null ids or texts
     on either side and texts of fewer words match nothing; repeated rows count once; an empty table on either side gives
     no rows, and other columns are not looked at. Ordinary words are taken from all items at once, and windows of both
@@ -152,14 +154,15 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
                 yield arrow({"h": (np.unique(found).view(np.int64), pa.int64())})
 
     literals = context.broadcast(sieve_of(known.mapInArrow(ordinary, "h long")))
-    asked = store(windows(known, run, literals, None, reworded).dropDuplicates(["key", "id", "exact"]), "items")
-    sieve = context.broadcast(sieve_of(asked.select(F.col("key" if reworded else "exact").alias("h"))))
-    found = windows(corpus, run, literals, sieve, reworded)
-    theirs = asked.select("key", F.col("id").alias("item_id"), F.col("exact").alias("item_exact"), F.col("raw").alias("item_raw"))
+    asked = store(windows(known, run, literals, None).dropDuplicates(["key", "id", "exact"]), "items")
+    sieve = context.broadcast(sieve_of(asked.select(F.col("key").alias("h"))))
+    theirs = asked.select("key", F.col("id").alias("item_id"), F.col("raw").alias("item_raw"))
+    met = windows(corpus, run, literals, sieve).join(theirs, "key").withColumn("same", F.col("raw") == F.col("item_raw"))
+    like = F.col("same") | (F.col("solid") & consistent(F.col("raw"), F.col("item_raw"))) if reworded else F.col("same")
+    hits = met.where(like).select(F.col("id").alias("doc_id"), "item_id", "at", "same")
     if not reworded:
-        hits = found.join(theirs, (found["exact"] == F.col("item_exact")) & (found["key"] == theirs["key"])).select(F.col("id").alias("doc_id"), "item_id", "at", F.lit("verbatim").alias("kind"))
-        return _counted(hits)
-    hits = store(found.join(theirs, "key").withColumn("same", F.col("exact") == F.col("item_exact")).where(F.col("same") | (F.col("solid") & consistent(F.col("raw"), F.col("item_raw")))).select(F.col("id").alias("doc_id"), "item_id", "at", "same"), "hits")
+        return _counted(hits.select("doc_id", "item_id", "at", F.lit("verbatim").alias("kind")))
+    hits = store(hits, "hits")
     verbatim = hits.where("same")
     other = hits.where("not same").join(verbatim.select("doc_id", "at").distinct(), ["doc_id", "at"], "left_anti").join(verbatim.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_anti")
     columns = ("doc_id", "item_id", "at")

@@ -1,6 +1,6 @@
 import random
 
-from papyrion.llm import leakage
+from papyrion.llm import leakage, queries
 from papyrion.llm.text import words
 
 DOCS, ITEMS = "doc_id long, text string, item_id long, kind string", "item_id long, txt string, doc_id long, text string"
@@ -69,3 +69,25 @@ def test_words_used_by_any_item_are_ordinary_in_all(spark):
 
 def test_empty_tables(spark):
     assert run(spark, [], [(1, ITEM)]) == {} and run(spark, [(1, ITEM)], []) == {}
+
+
+def test_found_goes_through_templates_and_slots(spark, monkeypatch, tmp_path):
+    other = ITEM.replace("Zorn", "Quax").replace("Blex", "Tarp").replace("161", "9").replace("Flim", "Osk").replace("Gnur", "Wim")
+    spark.createDataFrame([(1, "x " + ITEM), (2, other), (3, other + " then " + ITEM)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, ITEM)], "item_id long, txt string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    asked, own = [], leakage.consistent
+    monkeypatch.setattr(leakage, "consistent", lambda a, b: asked.append((a, b)) or own(a, b))
+    assert {tuple(r) for r in queries.p7_found(spark, str(tmp_path)).collect()} == {(1, 7), (3, 7)} and len(asked) == 1
+    assert {(r.doc_id, r.kind) for r in queries.p7_leaks(spark, str(tmp_path)).collect()} == {(1, "verbatim"), (2, "reparameterised"), (3, "verbatim")}
+
+
+def test_tables_of_numbers_meet_only_themselves(spark):
+    # by their template alone all windows of one would meet all of another
+    numbers = lambda k: " ".join(str(k * 10_000 + i) for i in range(400))
+    docs, items = spark.createDataFrame([(1, numbers(1)), (2, numbers(2))], "id long, text string"), spark.createDataFrame([(7, numbers(1)), (8, numbers(3))], "id long, text string")
+    literals = spark.sparkContext.broadcast(leakage.sieve_of(spark.createDataFrame([(1,)], "h long")))
+    theirs = leakage.windows(items, 12, literals, None)
+    met = leakage.windows(docs, 12, literals, None).alias("d").join(theirs.alias("i"), "key")
+    assert theirs.where("not solid").count() == 2 * 389 and met.count() == 389
+    got = run(spark, [(1, numbers(1)), (2, numbers(2))], [(7, numbers(1)), (8, numbers(3))])
+    assert got == {(1, 7, "verbatim"): (389, 0)}
